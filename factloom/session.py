@@ -62,3 +62,12 @@ def filled(col: Column | str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over at least as many partitions as there are cores, for work that costs far more than a shuffle of its input.
+
+    A large input has enough scan partitions and stays where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, key)
