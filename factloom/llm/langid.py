@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.prose import PAD, Streams, streams
+from factloom.session import spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 #: Order of the models; rows sampled per language for fitting, and characters used of each such row.
@@ -309,6 +310,7 @@ def languages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
     model = model or train(sample(documents, doc_id, text, lang))
     shared = spark.sparkContext.broadcast(model)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), label_language(F.col(lang)).alias("label_lang"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\s\p{Z}]"))
+    docs = spread(docs, "doc_id")
     schema = pa.schema([("doc_id", pa.int64()), ("label_lang", pa.string()), ("segment_no", pa.int32()), ("lang_found", pa.string()), ("confidence", pa.float64()), ("n_letters", pa.int64()), ("n_langs", pa.int32())])
 
     def emit(m: Model, ids: list[int], labels: list[str | None], texts: list[str]) -> pa.RecordBatch:

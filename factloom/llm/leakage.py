@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread
+
 #: Length of a q-gram, edits allowed in a window, words of a window.
 Q, EDITS, WINDOW = 12, 1, 13
 #: Width of a band of diagonals; a second set of bands is shifted by half of it, so EDITS fit into one of the two.
@@ -251,6 +253,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     chars = its.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
+    docs = spread(docs, "doc_id")
     out: DataFrame | None = None
     for b in range(blocks):
         rows = its.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else its

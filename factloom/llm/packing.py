@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import spread
+
 #: The vocabulary file and split pattern used unless others are given; executors read the file from the same path.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,7 +48,7 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
         for s in batches:
             yield pd.Series([len(encode(t)) for t in s], dtype="int64")
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).where("_t <> ''")
+    rows = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).where("_t <> ''"), "doc_id")
     return rows.select("doc_id", count("_t").alias("n_tokens"))
 
 

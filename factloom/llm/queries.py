@@ -8,11 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, leakage, packing
+from factloom.llm.syntax import check as syntax
 from factloom.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.repairs(table(spark, d, "source_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_repairs(spark, d).where("edit_cost > 0").select("file_id").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per project and language: files, broken files and their share, and how many are of each kind."""
+    files = p5_repairs(spark, d).groupBy("project_id", "language", "file_id").agg(F.max("edit_cost").alias("cost"), F.max("damage_kind").alias("kind"))
+    kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("truncation", "conflict", "mismatch", "damage")]
+    out = files.groupBy("project_id", "language").agg(F.count("*").alias("n_files"), F.count_if(F.col("cost") > 0).alias("n_broken"), *kinds)
+    return out.withColumn("broken_share", F.col("n_broken") / F.col("n_files"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     counts = cut(packing.token_counts(table(spark, d, "documents")))  # counted once, then sized and packed
     return packing.pack(counts, table(spark, d, "pack_capacities"))
@@ -51,7 +68,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_packing, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_languages)}
+    return {f.__name__: f for f in (p5_found, p5_repairs, p5_rates, p6_packing, p6_fill, p7_found, p7_leaks, p7_items, p8_found, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
