@@ -28,7 +28,7 @@ RULES: dict[str, Rule] = {
     "component_cycle": CycleRule(scope="component"), "package_cycle": CycleRule(scope="package"), "module_cycle": CycleRule(scope="module"),
     "controller_repository": ControllerRule(), "module_boundary": BoundaryRule(boundaries=BOUNDARIES),
     "forbidden_package": ForbiddenRule(selectors=("package:trade.middle_east.**",)),
-    "forbidden_type": ForbiddenRule(selectors=("type:trade.asia.n8.S4", "type:trade.africa.n0.S1")),
+    "forbidden_type": ForbiddenRule(selectors=("type:trade.africa.n10.S38", "type:trade.asia.n7.S94")),
     "forbidden_coordinate_ga": ForbiddenRule(selectors=("maven:Brand#14:MEDIUM",)), "forbidden_coordinate_gav": ForbiddenRule(selectors=("maven:Brand#16:LARGE:3",)),
     "forbidden_first_match": ForbiddenRule(selectors=("package:trade.**", "maven:Brand#14:MEDIUM", "maven:Brand#16:LARGE:3", "package:trade.asia.**")),
     "complexity_function": ComplexityRule(function=7), "complexity_type": ComplexityRule(type=600), "complexity_module": ComplexityRule(module=1),
@@ -125,7 +125,7 @@ def queries() -> dict[str, Query]:
         "out_neighbours": _facts(lambda f: graph.outgoing(f.dependency).select("node", F.array_join("neighbours", ",").alias("neighbours"))),
         "in_degree": _facts(lambda f: graph.incoming(f.dependency).select("node", F.size("neighbours").cast("long").alias("n_sources"))),
         "stable_id_component": _facts(lambda f: f.component.select("id", "qualified_name", "kind")),
-        "selector_exact": _selector("trade.asia.n8"), "selector_children": _selector("trade.asia.*"), "selector_subtree": _selector("trade.africa.**"),
+        "selector_exact": _selector("trade.middle_east.n9"), "selector_children": _selector("trade.asia.*"), "selector_subtree": _selector("trade.africa.**"),
         "layer_assignment": _facts(_layers), "integrity_violations": _facts(integrity), "budget_check": _facts(budget),
         "self_loops": _facts(self_loops), "cycle_members": _facts(cycle_members),
         "metric_values": _facts(lambda f: f.metric.select("scope_id", "key", ident.decimal_text("value").alias("value"))),
@@ -218,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "controller_repository": _edge_sql(RULES["controller_repository"], "'controller-repository-access'", "'Spring Controller ' || sqn || ' must not directly access Repository ' || tqn", "sk % 3 = 0 AND tk % 4 = 1"),
         "module_boundary": _edge_sql(RULES["module_boundary"], "'internal-module-access'", "'Cross-module dependency targets internal package ' || tpkg", f"{boundary} AND tr IN (1, 2) AND tn % 2 = 1"),
         "forbidden_package": forbidden("forbidden_package", "'package:trade.middle_east.**'", "tpkg LIKE 'trade.middle_east.%'"),
-        "forbidden_type": forbidden("forbidden_type", "'type:' || tqn", "tqn IN ('trade.asia.n8.S4', 'trade.africa.n0.S1')"),
+        "forbidden_type": forbidden("forbidden_type", "'type:' || tqn", "tqn IN ('trade.africa.n10.S38', 'trade.asia.n7.S94')"),
         "forbidden_coordinate_ga": forbidden("forbidden_coordinate_ga", "'maven:Brand#14:MEDIUM'", "coord LIKE 'Brand#14:MEDIUM:%'"),
         "forbidden_coordinate_gav": forbidden("forbidden_coordinate_gav", "'maven:Brand#16:LARGE:3'", "coord = 'Brand#16:LARGE:3'"),
         "forbidden_first_match": forbidden("forbidden_first_match", first, f"{first} IS NOT NULL"),
@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "out_neighbours": f"{_BASE} SELECT src AS node, array_to_string(list_sort(list(DISTINCT tgt)), ',') AS neighbours FROM dep GROUP BY src",
         "in_degree": f"{_BASE} SELECT tgt AS node, count(DISTINCT src) AS n_sources FROM dep GROUP BY tgt",
         "stable_id_component": f"{_BASE} SELECT cid AS id, qn AS qualified_name, kind FROM comp UNION ALL SELECT cid, qn, 'function' FROM ord",
-        "selector_exact": f"{_BASE} SELECT qn AS qualified_name, pkg AS package FROM sup WHERE pkg = 'trade.asia.n8'",
+        "selector_exact": f"{_BASE} SELECT qn AS qualified_name, pkg AS package FROM sup WHERE pkg = 'trade.middle_east.n9'",
         "selector_children": f"{_BASE} SELECT qn AS qualified_name, pkg AS package FROM sup WHERE starts_with(pkg, 'trade.asia.') AND instr(substr(pkg, 12), '.') = 0",
         "selector_subtree": f"{_BASE} SELECT qn AS qualified_name, pkg AS package FROM sup WHERE pkg = 'trade.africa' OR starts_with(pkg, 'trade.africa.')",
         "layer_assignment": f"{_BASE} SELECT qn AS qualified_name, CAST(r_regionkey AS BIGINT) AS layer FROM sup",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import fact_queries
 from factloom.operators import flatten, hierarchy, snapshotdiff, widen
 from factloom.plans import supply_queries
 from factloom.session import table
@@ -70,8 +71,8 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_descendants, p1_intervals, p2_found, p2_summary, p3_found, p3_components, p3_findings, p4_found)}
     for kind in ("component", "artifact", "metric"):
         out[f"p4_{kind}_table"] = _wide(kind)
-    return out | supply_queries.queries()
+    return out | supply_queries.queries() | fact_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return supply_queries.oracle_sql()
+    return supply_queries.oracle_sql() | fact_queries.oracle_sql()

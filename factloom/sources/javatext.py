@@ -1,0 +1,19 @@
+"""Java source texts: comments and literals out, decision words counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_NOISE = r'(?s)"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)+\'|/\*.*?\*/|//[^\n]*'
+_DECISION = r"\b(?:if|for|while|catch|case)\b|&&|\|\||(?<![<,?]\s?)\?(?!\s*(?:extends|super|>|,))"
+
+
+def stripped(text: Column) -> Column:
+    """The text without comments, string and character literals."""
+    return F.regexp_replace(text, _NOISE, " ")
+
+
+def decision_count(text: Column) -> Column:
+    """1 + the decision points of a file: if, for, while (with do), catch, case, ?:, && and ||."""
+    return F.lit(1) + F.regexp_count(stripped(text), F.lit(_DECISION))

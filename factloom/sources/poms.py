@@ -25,7 +25,7 @@ def interpolate(value: Column, properties: Column) -> Column:
 
 
 def coordinates(poms: DataFrame) -> DataFrame:
-    """Adds pom_key and parent_key to raw POM rows; either is null if its group or artifact does not resolve.
+    """Adds pom_key, parent_key and resolved_version to raw POM rows; each is null if a part of it does not resolve.
 
     Only a POM's own properties count, and parent.groupId, parent.artifactId and parent.version of its parent element. A blank
     group is inherited from the parent element.
@@ -40,7 +40,8 @@ def coordinates(poms: DataFrame) -> DataFrame:
     artifact = interpolate(F.col("artifact_id"), F.col("_p"))
     up_group, up_artifact = interpolate(pg, F.col("_p")), interpolate(pa, F.col("_p"))
     join = lambda g, a: F.when(g.isNotNull() & a.isNotNull(), F.concat(g, F.lit(":"), a))
-    return df.withColumn("pom_key", join(group, artifact)).withColumn("parent_key", join(up_group, up_artifact)).drop("_p")
+    version = interpolate(F.coalesce(filled("pom_version"), pv), F.col("_p"))
+    return df.withColumn("pom_key", join(group, artifact)).withColumn("parent_key", join(up_group, up_artifact)).withColumn("resolved_version", version).drop("_p")
 
 
 def latest_links(poms: DataFrame) -> DataFrame:
@@ -50,3 +51,42 @@ def latest_links(poms: DataFrame) -> DataFrame:
         .groupBy("pom_key").agg(F.max(F.struct("scanned_at", "parent_key")).alias("m"))
         .select("pom_key", F.col("m.parent_key").alias("parent_key"))
     )
+
+
+def _dependencies(poms: DataFrame) -> DataFrame:
+    """Direct dependencies of the latest scan of each project, with group, artifact and scope resolved; test scope left out.
+
+    A blank or unresolvable scope counts as compile. project.* and pom.* stand for the project's own coordinates.
+    """
+    best = coordinates(poms).where(F.col("pom_key").isNotNull())
+    newest = best.groupBy("pom_key").agg(F.max(F.struct("scanned_at", "pom_id")).alias("_m")).select(F.col("_m.pom_id").alias("pom_id")).distinct()
+    last = best.join(newest, "pom_id", "left_semi").dropDuplicates(["pom_key", "pom_id"])
+    props = F.map_from_entries(F.concat(
+        F.filter(F.map_entries(F.coalesce("pom_properties", F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin("project.groupId", "pom.groupId", "project.artifactId", "pom.artifactId")),
+        F.array(*(F.struct(F.lit(f"{p}.{n}Id").alias("key"), F.split("pom_key", ":")[i].alias("value")) for p in ("project", "pom") for i, n in enumerate(("group", "artifact")))),
+    ))
+    rows = last.select("pom_key", "repository_path", props.alias("_p"), F.explode("dependencies").alias("d"))
+    scope = F.coalesce(interpolate(F.col("d.dep_scope"), F.col("_p")), F.lit("compile"))
+    return rows.select(
+        F.col("pom_key").alias("source_key"), "repository_path", F.col("d.line_no").alias("line_no"), scope.alias("scope"),
+        interpolate(F.col("d.group_id"), F.col("_p")).alias("group"), interpolate(F.col("d.artifact_id"), F.col("_p")).alias("artifact"),
+    ).where("scope <> 'test'")
+
+
+def dependency_edges(poms: DataFrame) -> DataFrame:
+    """source_key, target_key, internal, scopes (sorted), n_lines: folded dependencies between projects and libraries.
+
+    internal tells that the target is a project of the table; others are external libraries.
+    """
+    known = coordinates(poms).select(F.col("pom_key").alias("target_key"), F.lit(True).alias("_in")).where("target_key is not null").distinct()
+    rows = _dependencies(poms).where("group is not null and artifact is not null").withColumn("target_key", F.concat("group", F.lit(":"), "artifact"))
+    return (
+        rows.groupBy("source_key", "target_key").agg(F.array_sort(F.collect_set("scope")).alias("scopes"), F.countDistinct("line_no").alias("n_lines"))
+        .join(known, "target_key", "left").withColumn("internal", F.coalesce("_in", F.lit(False))).drop("_in")
+    )
+
+
+def unresolved_dependencies(poms: DataFrame) -> DataFrame:
+    """code, file_path, line_no of direct dependencies whose group or artifact does not resolve."""
+    rows = _dependencies(poms).where("group is null or artifact is null")
+    return rows.select(F.lit("maven.dependency.unresolved").alias("code"), F.col("repository_path").alias("file_path"), "line_no").distinct()
