@@ -44,29 +44,27 @@ def _boolean(t: Column) -> Column:
     return F.when(low.isin("true", "t", "yes", "y", "1", "on"), True).when(low.isin("false", "f", "no", "n", "0", "off"), False)
 
 
+_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})((?::\d{2})?)(?:[.,]\d+)?\s*(?:Z|z|UTC|[+-]\d{2}:?\d{2})?$"
+_OFFSET = r"([+-]\d{2}):?(\d{2})$"
+
+
 def _moment(t: Column) -> Column:
     """A time stamp in UTC: ISO with or without fraction and offset, or seconds or milliseconds since 1970."""
-    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*(?:(Z|z|UTC)|([+-])(\d{2}):?(\d{2}))?$"
-    g = lambda i: F.regexp_extract(t, iso, i)
-    num = lambda i: F.coalesce(F.when(g(i) != "", g(i)).cast("int"), F.lit(0))
-    made = F.try_make_timestamp_ntz(num(1), num(2), num(3), num(4), num(5), num(6))
-    away = (num(9) * 60 + num(10)) * F.when(g(8) == "-", -1).otherwise(1)
-    iso_value = F.when(t.rlike(iso), F.timestamp_add("MINUTE", -away, made))
-    seconds = F.when(t.rlike(r"^\d{10}$"), t).when(t.rlike(r"^\d{13}$"), F.substring(t, 1, 10)).cast("int")
+    local = F.when(t.rlike(_ISO), F.regexp_replace(t, _ISO, "$1-$2-$3 $4:$5$6")).try_cast("timestamp_ntz")
+    part = lambda i: F.regexp_extract(t, _OFFSET, i)
+    away = F.when(t.rlike(":" + r"\d{2}.*" + _OFFSET), part(1).cast("int") * 60 + F.concat(F.substring(part(1), 1, 1), part(2)).cast("int")).otherwise(0)
+    seconds = F.when(t.rlike(r"^\d{10}(\d{3})?$"), F.substring(t, 1, 10)).cast("int")
     start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.coalesce(iso_value, F.timestamp_add("SECOND", seconds, start))
+    return F.coalesce(F.timestamp_add("MINUTE", -away, local), F.timestamp_add("SECOND", seconds, start))
 
 
 def _day(t: Column) -> Column:
-    forms = [(r"^(\d{4})-(\d{1,2})-(\d{1,2})$", (1, 2, 3)), (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)), (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3))]
-    zero = F.lit(0)
-    made = lambda y, m, d: F.try_make_timestamp_ntz(y, m, d, zero, zero, zero)
-    out = [F.when(t.rlike(p), made(*(F.when(t.rlike(p), F.regexp_extract(t, p, i)).cast("int") for i in g))) for p, g in forms]
+    """A day: y-m-d, y/m/d, yyyymmdd, `d Mon yyyy`, or that of a time stamp in UTC."""
     named = r"^(\d{1,2})[ .-]+([A-Za-z]{3})[a-z]*[ .,-]+(\d{4})$"
-    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.regexp_extract(t, named, 2))).cast("int")
-    num = lambda i: F.when(t.rlike(named), F.regexp_extract(t, named, i)).cast("int")
-    out.append(F.when(t.rlike(named), made(num(3), month, num(1))))
-    return F.coalesce(*out, F.when(t.contains(":"), _moment(t))).cast("date")
+    month = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.regexp_extract(t, named, 2)))
+    dashed = F.regexp_replace(F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    plain = F.when(t.rlike(named), F.concat_ws("-", F.regexp_extract(t, named, 3), month.cast("string"), F.regexp_extract(t, named, 1))).otherwise(dashed)
+    return F.when(t.contains(":"), _moment(t).cast("date")).when(plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), plain.try_cast("date"))
 
 
 def _texts(v: Column) -> Column:
@@ -96,7 +94,9 @@ def cells(values: DataFrame, registry: list[tuple[str, str, str]]) -> DataFrame:
     rows = rows.select("entity_kind", "entity_id", "idx", F.when(~is_list & (F.col("idx") >= 0), F.struct("loaded_at", "ext_value")).alias("v"), F.explode_outer(F.when(is_list, _texts(F.col("ext_value")))).alias("item"))
     last = rows.groupBy("entity_kind", "entity_id", "idx").agg(F.max("v").alias("v"), F.sort_array(F.collect_set("item")).alias("items"))
     of = lambda *types: F.col("idx").isin([i for i, r in enumerate(registry) if r[2] in types] or [-2])
-    t = filled(F.col("v.ext_value"))
+    # the trimmed text is a column of its own, so that no branch computes it again
+    last = last.select("entity_kind", "entity_id", "idx", filled(F.col("v.ext_value")).alias("_t"), "items")
+    t = F.col("_t")
     return last.select(
         "entity_kind", "entity_id", F.col("idx").cast("int").alias("idx"),
         F.when(of("string"), t).alias("s"), F.when(of("int"), _whole(t)).when(of("decimal"), _decimal(t)).alias("n"), F.when(of("boolean"), _boolean(t)).alias("b"),
