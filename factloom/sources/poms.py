@@ -63,7 +63,7 @@ def _dependencies(poms: DataFrame) -> DataFrame:
     last = best.join(newest, "pom_id", "left_semi").dropDuplicates(["pom_key", "pom_id"])
     props = F.map_from_entries(F.concat(
         F.filter(F.map_entries(F.coalesce("pom_properties", F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin("project.groupId", "pom.groupId", "project.artifactId", "pom.artifactId")),
-        F.array(*(F.struct(F.lit(f"{p}.{n}Id").alias("key"), F.split("pom_key", ":")[i].alias("value")) for p in ("project", "pom") for i, n in enumerate(("group", "artifact")))),
+        F.array(*(F.struct(F.lit(f"{p}.{n}Id").alias("key"), F.split("pom_key", ":")[i].alias("value")) for p in ("project", "pom") for i, n in enumerate(("group", "artifact")))).cast("array<struct<key:string,value:string>>"),
     ))
     rows = last.select("pom_key", "repository_path", props.alias("_p"), F.explode("dependencies").alias("d"))
     scope = F.coalesce(interpolate(F.col("d.dep_scope"), F.col("_p")), F.lit("compile"))
