@@ -241,4 +241,10 @@ def oracle_sql() -> dict[str, str]:
         "metric_values": f"{_BASE} SELECT cid AS scope_id, 'complexity.cyclomatic' AS key, CAST(n AS VARCHAR) AS value FROM met",
         "budget_check": f"{_BASE}, pid AS (SELECT 'project_' || sha256(concat_ws(chr(10), '0.1.0', 'supply', 'project', 'sql', '.', 'supply')) AS p) SELECT 'rule.limit.nodes' AS code, p AS subject_id FROM pid WHERE (SELECT count(*) FROM comp) + (SELECT count(*) FROM ord) > 50 UNION ALL SELECT 'rule.limit.edges', p FROM pid WHERE (SELECT count(*) FROM dep) > 5",
     }
+    every = " UNION ALL ".join(f"SELECT id, rule_id, severity FROM ({out[n]})" for n in ALL)
+    out["rule_set_findings"] = f"SELECT rule_id, severity, count(*) AS n_findings, count(DISTINCT id) AS n_ids FROM ({every}) GROUP BY 1, 2"
+    out["severity_gate"] = f"SELECT rule_id, CAST(max(CASE severity WHEN 'critical' THEN 4 ELSE 3 END) AS BIGINT) AS worst, count(*) AS n_blocking FROM ({every}) WHERE severity IN ('high', 'critical') GROUP BY 1"
+    first_diag = out["forbidden_unresolved_diag"].replace("coord <> 'Brand#16:LARGE:3'", "coord <> 'Brand#16:LARGE:3' AND coord NOT LIKE 'Brand#14:MEDIUM:%'")
+    diags = " UNION ".join(f"SELECT code, subject_id FROM ({q})" for q in (out["module_boundary_missing"], out["annotation_unresolved"], first_diag))
+    out["rule_set_diagnostics"] = f"SELECT code, count(*) AS n_diagnostics FROM ({diags}) GROUP BY 1"
     return out
