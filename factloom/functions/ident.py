@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +18,7 @@ def nfc(c: Column | str) -> Column:
     """Unicode NFC. Spark has no such function, so texts that are not ASCII go through Python."""
     c = _col(c)
 
-    @F.pandas_udf("string")
-    def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+    from factloom.functions.unicode import compose
 
     return F.when(c.rlike(r"\A[\x00-\x7F]*\z"), c).otherwise(compose(c))
 

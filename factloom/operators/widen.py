@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from factloom.session import filled, trimmed
 
-#: Value types of the registry and the typed buffer each is carried in. Decimals keep 12 places.
+#: Value types of the registry and the typed buffer each is carried in. Whole numbers come out as decimal(38,0), decimals keep 12 places.
 BUFFERS = {"string": "s", "int": "n", "decimal": "n", "boolean": "b", "date": "d", "timestamp": "t", "string_list": "l"}
-SQL_TYPES = {"string": "string", "int": "decimal(38,12)", "decimal": "decimal(38,12)", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "string_list": "array<string>"}
+SQL_TYPES = {"string": "string", "int": "decimal(38,0)", "decimal": "decimal(38,12)", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "string_list": "array<string>"}
+_WHOLE = pa.decimal128(38, 0)
 _ARROW = {"s": pa.string(), "n": pa.decimal128(38, 12), "b": pa.bool_(), "d": pa.date32(), "t": pa.timestamp("us"), "l": pa.list_(pa.string())}
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
@@ -118,7 +119,8 @@ def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
     registry = _registry(keys)
     names = column_names(registry)
     kinds = [BUFFERS[r[2]] for r in registry]
-    schema = pa.schema([("entity_kind", pa.string()), ("entity_id", pa.string()), *((n, _ARROW[k]) for n, k in zip(names, kinds))])
+    types = [_WHOLE if r[2] == "int" else _ARROW[BUFFERS[r[2]]] for r in registry]
+    schema = pa.schema([("entity_kind", pa.string()), ("entity_id", pa.string()), *zip(names, types)])
 
     def build(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
         """batch holds whole entities, sorted."""
@@ -131,11 +133,11 @@ def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
         row = np.cumsum(~same) - 1
         first = pa.array(np.flatnonzero(~same))
         out = [kind.take(first), ids.take(first)]
-        for j, k in enumerate(kinds):
+        for j, (k, t) in enumerate(zip(kinds, types)):
             at = np.full(len(first), -1, dtype=np.int64)
             here = np.flatnonzero(idx == j)
             at[row[here]] = here
-            out.append(batch.column(k).take(pa.array(at, mask=at < 0)).cast(_ARROW[k]))
+            out.append(batch.column(k).take(pa.array(at, mask=at < 0)).cast(t))
         return pa.RecordBatch.from_arrays(out, schema=schema)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +62,9 @@ def scc(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select("project_id", "source_id", "target_id").distinct()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf):
+        import pandas as pd
+
         got = tarjan(list(zip(pdf["source_id"], pdf["target_id"])))
         return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node": list(got), "scc": list(got.values())})
 

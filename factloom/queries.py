@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import fact_queries
-from factloom.operators import flatten, hierarchy, snapshotdiff, widen
+from factloom.operators import flatten, hierarchy
 from factloom.plans import supply_queries
 from factloom.session import table
 from factloom.sources import poms
@@ -35,7 +35,12 @@ def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d, True).where("node_depth >= 0").select("key", "root_key", "node_depth", "subtree_size", "enter", "leave")
 
 
+# operators that need array libraries on the driver are imported by the queries that use them
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.operators import snapshotdiff
+
     return snapshotdiff.snapshot_changes(table(spark, d, "finding_snapshots")).withColumn("snapshot_no", F.col("snapshot_no").cast("int"))
 
 
@@ -56,11 +61,15 @@ def p3_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.operators import widen
+
     return widen.filled_cells(table(spark, d, "extension_values"), table(spark, d, "extension_keys"))
 
 
 def _wide(kind: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
+        from factloom.operators import widen
+
         w = widen.wide_table(table(spark, d, "extension_values"), table(spark, d, "extension_keys"), kind)
         return w.toDF(*(c.replace(".", "_").replace("-", "_") for c in w.columns))
 
