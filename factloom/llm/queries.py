@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import langid, leakage, packing
-from factloom.llm.syntax import check as syntax
 from factloom.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# each operator is imported by the queries that use it, so that a driver loads only what it needs
+
+
 def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm.syntax import check as syntax
+
     return syntax.repairs(table(spark, d, "source_files"))
 
 
@@ -31,6 +34,8 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm import packing
+
     counts = cut(packing.token_counts(table(spark, d, "documents")))  # counted once, then sized and packed
     return packing.pack(counts, table(spark, d, "pack_capacities"))
 
@@ -44,6 +49,8 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm import leakage
+
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
@@ -57,6 +64,8 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm import langid
+
     return langid.languages(table(spark, d, "documents"))
 
 
