@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from factloom.plans import graph
 from factloom.plans.engine import evaluate, severity_rank
 from factloom.plans.model import FactModel, Limits, component_facts, edge_facts, violations
 from factloom.plans.rules import AnnotationRule, BoundaryRule, ComplexityRule, ControllerRule, CycleRule, ForbiddenRule, LayerRule, PackageRule, Policy, Requirement, Rule
-from factloom.sources.supply import FUNDED, supply_facts
+from factloom.sources.supply import FUNDED, supply_facts, whole_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
+Facts = Callable[[SparkSession, str], FactModel]
 REGIONS = ("africa", "america", "asia", "europe", "middle_east")
 LAYERS = tuple((r, (f"trade.{r}.**",)) for r in REGIONS)
 EVEN = tuple(tuple(f"trade.{r}.n{n}" for n in range(0, 25, 2)) for r in REGIONS)
@@ -38,43 +40,43 @@ RULES: dict[str, Rule] = {
 DIAGNOSED = {"module_boundary_missing": "module_boundary", "forbidden_unresolved_diag": "forbidden_coordinate_gav", "annotation_unresolved": "required_annotation"}
 
 
-def _run(spark: SparkSession, d: str, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+def _run(spark: SparkSession, d: str, rules: list[Rule], facts: Facts) -> tuple[DataFrame, DataFrame]:
     # the order tables at every scale are over the default budgets; integrity is checked by queries of its own
-    return evaluate(supply_facts(spark, d), rules, Limits(None, None, None), checked=False)
+    return evaluate(facts(spark, d), rules, Limits(None, None, None), checked=False)
 
 
 def flat(findings: DataFrame) -> DataFrame:
     return findings.select("id", "fingerprint", "rule_id", "severity", "subject_id", "message", F.array_join("evidence_ids", ",").alias("evidence_ids"), F.col("location.path").alias("location_path"), F.col("location.start_line").alias("location_line"), F.array_join(F.array_sort(F.transform(F.map_entries("extensions"), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))), ";").alias("extensions"))
 
 
-def _findings(name: str) -> Query:
-    return lambda spark, d: flat(_run(spark, d, [RULES[name]])[0])
+def _findings(name: str, facts: Facts) -> Query:
+    return lambda spark, d: flat(_run(spark, d, [RULES[name]], facts)[0])
 
 
-def _diagnostics(name: str) -> Query:
-    return lambda spark, d: _run(spark, d, [RULES[DIAGNOSED[name]]])[1].select("code", "subject_id", "message")
+def _diagnostics(name: str, facts: Facts) -> Query:
+    return lambda spark, d: _run(spark, d, [RULES[DIAGNOSED[name]]], facts)[1].select("code", "subject_id", "message")
 
 
 ALL = ("policy_all", "layer_all", "component_cycle", "controller_repository", "module_boundary", "forbidden_first_match", "complexity_all", "required_annotation")
 
 
-def rule_set_findings(spark: SparkSession, d: str) -> DataFrame:
+def rule_set_findings(spark: SparkSession, d: str, facts: Facts = supply_facts) -> DataFrame:
     """All eight rules at once, per rule and severity; the bag union of their findings."""
-    return _run(spark, d, [RULES[n] for n in ALL])[0].groupBy("rule_id", "severity").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_ids"))
+    return _run(spark, d, [RULES[n] for n in ALL], facts)[0].groupBy("rule_id", "severity").agg(F.count("*").alias("n_findings"), F.countDistinct("id").alias("n_ids"))
 
 
-def rule_set_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    return _run(spark, d, [RULES[n] for n in ALL])[1].groupBy("code").agg(F.count("*").alias("n_diagnostics"))
+def rule_set_diagnostics(spark: SparkSession, d: str, facts: Facts = supply_facts) -> DataFrame:
+    return _run(spark, d, [RULES[n] for n in ALL], facts)[1].groupBy("code").agg(F.count("*").alias("n_diagnostics"))
 
 
-def severity_gate(spark: SparkSession, d: str) -> DataFrame:
+def severity_gate(spark: SparkSession, d: str, facts: Facts = supply_facts) -> DataFrame:
     """Findings at least as severe as high, per rule; the worst rank decides the exit status."""
-    f = _run(spark, d, [RULES[n] for n in ALL])[0]
+    f = _run(spark, d, [RULES[n] for n in ALL], facts)[0]
     return f.withColumn("rank", severity_rank("severity")).where("rank >= 3").groupBy("rule_id").agg(F.max("rank").cast("long").alias("worst"), F.count("*").alias("n_blocking"))
 
 
-def _facts(fn: Callable[[FactModel], DataFrame]) -> Query:
-    return lambda spark, d: fn(supply_facts(spark, d))
+def _facts(fn: Callable[[FactModel], DataFrame], facts: Facts = supply_facts) -> Query:
+    return lambda spark, d: fn(facts(spark, d))
 
 
 def _types(f: FactModel) -> DataFrame:
@@ -115,22 +117,33 @@ def cycle_members(f: FactModel) -> DataFrame:
     return inside.select("scc", F.col("source_id").alias("node")).distinct()
 
 
-def queries() -> dict[str, Query]:
+def _on_edges(facts: Facts) -> dict[str, Query]:
+    """The queries that read dependencies."""
     edge_cols = ("source_qualified_name", "target_qualified_name", "source_package", "target_package", "module_path", "coordinate")
-    out: dict[str, Query] = {n: _findings(n) for n in RULES} | {n: _diagnostics(n) for n in DIAGNOSED}
-    out |= {
-        "rule_set_findings": rule_set_findings, "rule_set_diagnostics": rule_set_diagnostics, "severity_gate": severity_gate,
-        "edge_fold": _facts(lambda f: f.dependency.select("id", "source_id", "target_id", "kind", F.array_join("evidence_ids", ",").alias("evidence_ids"))),
-        "edge_facts": _facts(lambda f: edge_facts(f).select("dependency_id", *edge_cols)),
-        "out_neighbours": _facts(lambda f: graph.outgoing(f.dependency).select("node", F.array_join("neighbours", ",").alias("neighbours"))),
-        "in_degree": _facts(lambda f: graph.incoming(f.dependency).select("node", F.size("neighbours").cast("long").alias("n_sources"))),
+    edgeless = ("complexity_", "required_annotation", "annotation_")
+    out: dict[str, Query] = {n: _findings(n, facts) for n in RULES} | {n: _diagnostics(n, facts) for n in DIAGNOSED}
+    out = {n: q for n, q in out.items() if not n.startswith(edgeless)}
+    return out | {
+        **{f.__name__: functools.partial(f, facts=facts) for f in (rule_set_findings, rule_set_diagnostics, severity_gate)},
+        "edge_fold": _facts(lambda f: f.dependency.select("id", "source_id", "target_id", "kind", F.array_join("evidence_ids", ",").alias("evidence_ids")), facts),
+        "edge_facts": _facts(lambda f: edge_facts(f).select("dependency_id", *edge_cols), facts),
+        "out_neighbours": _facts(lambda f: graph.outgoing(f.dependency).select("node", F.array_join("neighbours", ",").alias("neighbours")), facts),
+        "in_degree": _facts(lambda f: graph.incoming(f.dependency).select("node", F.size("neighbours").cast("long").alias("n_sources")), facts),
+        "integrity_violations": _facts(integrity, facts), "budget_check": _facts(budget, facts),
+        "self_loops": _facts(self_loops, facts), "cycle_members": _facts(cycle_members, facts),
+    }
+
+
+def queries() -> dict[str, Query]:
+    """whole_NAME is NAME over all edges; NAME itself has SQL, which holds the sampled binding."""
+    out = _on_edges(supply_facts) | {f"whole_{n}": q for n, q in _on_edges(whole_facts).items()}
+    out |= {n: _findings(n, supply_facts) for n in RULES if n not in out} | {n: _diagnostics(n, supply_facts) for n in DIAGNOSED if n not in out}
+    return out | {
         "stable_id_component": _facts(lambda f: f.component.select("id", "qualified_name", "kind")),
         "selector_exact": _selector("trade.middle_east.n9"), "selector_children": _selector("trade.asia.*"), "selector_subtree": _selector("trade.africa.**"),
-        "layer_assignment": _facts(_layers), "integrity_violations": _facts(integrity), "budget_check": _facts(budget),
-        "self_loops": _facts(self_loops), "cycle_members": _facts(cycle_members),
+        "layer_assignment": _facts(_layers),
         "metric_values": _facts(lambda f: f.metric.select("scope_id", "key", ident.decimal_text("value").alias("value"))),
     }
-    return out
 
 
 # ---- the same in SQL

@@ -16,6 +16,8 @@ from factloom.session import table
 IDENTITY, LANGUAGE = "supply", "sql"
 PROJECT_ID = "project_" + hashlib.sha256("\n".join((SCHEMA_VERSION, IDENTITY, "project", LANGUAGE, ".", IDENTITY)).encode()).hexdigest()
 FUNDED = "acct.Funded"
+#: The lines that make supplier and library edges in the sampled binding, whose queries have SQL.
+SAMPLED = ("l_discount >= 0.095 and l_returnflag = 'R' and l_quantity >= 45", "l_quantity >= 50 and l_discount >= 0.095")
 _NO_EXT = "map<string,array<string>>"
 
 
@@ -41,8 +43,17 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return li.withColumn("next_supp", F.lead("l_suppkey").over(w)).withColumn("ev_path", path).withColumn("ev_id", _id("evidence", path, name))
 
 
-def supply_facts(spark: SparkSession, d: str) -> FactModel:
-    """The fact model of one folder of order tables; see the column expressions for the bindings."""
+def whole_facts(spark: SparkSession, d: str) -> FactModel:
+    """The fact model with an edge for every line that has a next supplier and for every supplier and part of a line."""
+    return supply_facts(spark, d, ("true", "true"))
+
+
+def supply_facts(spark: SparkSession, d: str, kept: tuple[str, str] = SAMPLED) -> FactModel:
+    """The fact model of one folder of order tables; see the column expressions for the bindings.
+
+    kept: the conditions on lines that make supplier edges and library edges.
+    """
+    to_supplier, to_part = f"next_supp is not null and ({kept[0]})", f"({kept[1]})"
     region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
     none = F.create_map().cast(_NO_EXT)
     pid = F.lit(PROJECT_ID).alias("project_id")
@@ -81,18 +92,18 @@ def supply_facts(spark: SparkSession, d: str) -> FactModel:
     )
 
     lines = _lines(spark, d)
-    used = lines.where("next_supp is not null and l_discount >= 0.095 and l_returnflag = 'R' and l_quantity >= 45")
+    used = lines.where(to_supplier)
     ids = sup.select("s_suppkey", "cid", "path")
     s = ids.select(F.col("s_suppkey").alias("l_suppkey"), F.col("cid").alias("source_id"), "path")
     t = ids.select(F.col("s_suppkey").alias("next_supp"), F.col("cid").alias("target_id"))
     fold = lambda df: df.groupBy("source_id", "target_id", "path").agg(F.array_sort(F.collect_set("ev_id")).alias("evidence_ids"))
-    to_lib = lines.where("l_quantity >= 50 and l_discount >= 0.095").join(part.select(F.col("p_partkey").alias("l_partkey"), coord.alias("coord")), "l_partkey").join(libs.select("coord", F.col("component_id").alias("target_id")).distinct(), "coord")
+    to_lib = lines.where(to_part).join(part.select(F.col("p_partkey").alias("l_partkey"), coord.alias("coord")), "l_partkey").join(libs.select("coord", F.col("component_id").alias("target_id")).distinct(), "coord")
     edges = fold(used.join(s, "l_suppkey").join(t, "next_supp")).unionByName(fold(to_lib.join(s, "l_suppkey")))
     kind = "depends-on"
     dependency = edges.select(pid, _id("dependency", F.col("path"), F.concat_ws("|", "source_id", F.lit(kind), "target_id")).alias("id"), "source_id", "target_id", F.lit(kind).alias("kind"), "evidence_ids", none.alias("extensions"))
 
     ev = lambda df, i, kind, text, loc: df.select(pid, F.col(i).alias("id"), F.lit(kind).alias("kind"), text.alias("summary"), loc.alias("location"), none.alias("extensions"))
-    touched = lines.where("(next_supp is not null and l_discount >= 0.095 and l_returnflag = 'R' and l_quantity >= 45) or (l_quantity >= 50 and l_discount >= 0.095)")
+    touched = lines.where(f"({to_supplier}) or {to_part}")
     modev = modules.withColumn("mev", _id("evidence", F.col("mpath"), F.concat("mname", F.lit("|complexity"))))
     evidence = (
         ev(touched, "ev_id", "reference", F.lit("order line"), _loc(F.col("ev_path"), F.col("l_linenumber")))
