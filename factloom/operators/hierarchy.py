@@ -1,202 +1,270 @@
 """Problem 1: parent-child rows to full hierarchies by heavy-path decomposition.
 
-All steps work on whole DataFrames with O(log n) rounds; no tree is ever gathered into one task, so one tree may hold
-most of the rows. Rounds:
+All steps work on whole DataFrames with O(log n) rounds over 64-bit ids; no tree is ever gathered into one task, so one tree
+may hold most of the rows. Keys are text only in the first and last step. A round is one job: what it has to report (nodes
+still open, nodes that changed) is observed while its result is written. Steps:
 
-1. Cycle separation. Pointer doubling over the parent column finds each node's root and depth. When a round resolves no
-   further node, the rest leads into cycles. The doubled map's image then shrinks to the cycles' members; the smallest
-   member, again found by doubling, names a cycle.
-2. Subtree sizes. With jump(v) the ancestor 2^k above v and part(v) the number of descendants less than 2^k below v,
+1. Ids. Each key gets the id of its row in a written table. Leaves are told apart: all rounds run over inner nodes only.
+2. Cycle separation. Pointer doubling over the parent column finds each inner node's root and depth. When a round resolves no
+   further node, the rest leads into cycles.
+3. Subtree sizes. With jump(v) the ancestor 2^k above v and part(v) the number of descendants less than 2^k below v,
    part'(v) = part(v) + sum of part(u) over all u with jump(u) = v. This rides on the same rounds as the doubling.
-3. Heavy paths. A node's heavy child is the one with the largest subtree (ties: the smallest key). Chains of heavy
-   children are labelled by their heads; a node's offset in its chain comes from depth differences.
-4. Paths. A chain holds its members in order; a chain's prefix is the prefix of the chain above it plus that chain's
-   segment down to the joint, doubled over the chain tree, whose height is at most log2 n.
-5. Descendants. Numbering heavy child first, then the light children, gives each node an interval [enter, leave] within
-   its root; v is a descendant of u exactly if u.enter < v.enter <= u.leave.
+4. Heavy paths. A node's heavy child is the inner child with the largest subtree (ties: the smallest key). Chains of heavy
+   children are labelled by their heads; a node's offset in its chain is a difference of depths; a leaf is a chain of its own.
+5. Paths. A chain is one row that holds its members in order; its prefix, the keys above it, is the prefix of the chain above
+   plus that chain's segment down to the joint, doubled over the chain tree, whose height is at most log2 n. Exploding a chain
+   gives its members' paths, so no node is joined with its chain. A row is never longer than a path that has to come out.
+6. Intervals. Numbering heavy child first, then the other children by key, gives each node an interval [enter, leave] within
+   its root, and each chain one as well; v is a descendant of u exactly if u.enter < v.enter <= u.leave. Sums over siblings
+   are running sums over one global sort, so a parent with most of the nodes does not fill one task.
+7. Cycles. The doubled map's image shrinks to the cycles' members; the smallest member, again found by doubling, names a
+   cycle. Nodes carry the name only; members are rows of a table of their own.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.session import cut
+from factloom.session import cut, cut_observed
 
-#: Sibling groups are numbered in this many slices, so one parent with most of the nodes does not fill one task.
-SIBLING_SLICES = 64
 #: Doubling rounds after which the operator gives up; 2^40 steps exceed any table.
 MAX_ROUNDS = 40
+#: Numbers of a root that share a key when intervals are joined: a descendant is compared with at most so many others in vain.
+BLOCK = 64
+
+
+def _linked(links: DataFrame, key: str, parent: str) -> DataFrame:
+    """id, key, up (the parent's id, null for a root), inner (whether the node has children), one row per node."""
+    rows = links.select(F.col(key).cast("string").alias("key"), F.col(parent).cast("string").alias("parent")).where(F.col("key").isNotNull())
+    # the ids are those of a written table, so they stay what they are if a task runs again
+    rows = cut(rows.groupBy("key").agg(F.min("parent").alias("parent")).withColumn("id", F.monotonically_increasing_id()))
+    up = rows.select(F.col("key").alias("parent"), F.col("id").alias("up"))
+    named = rows.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("key")).agg(F.lit(True).alias("inner"))
+    # nulls are kept out of the join: they would all meet in one task
+    below = rows.where(F.col("parent").isNotNull()).join(up, "parent", "left").select("id", "key", "up")
+    top = rows.where(F.col("parent").isNull()).select("id", "key", F.lit(None).cast("long").alias("up"))
+    return cut(below.unionByName(top).join(named, "key", "left").select("id", "key", "up", F.coalesce("inner", F.lit(False)).alias("inner")))
 
 
-def _double(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes: key, parent (null for a root). Returns settled(key, parent, root_key, node_depth, part) and open(key, jump, ...)."""
-    # jump: the node reached so far, null once the root is passed; top: the root once known.
-    state = nodes.select(
-        "key", "parent", F.col("parent").alias("jump"),
-        F.when(F.col("parent").isNull(), F.col("key")).alias("top"),
-        F.lit(0).cast("long").alias("gone"), F.lit(1).cast("long").alias("part"), F.lit(1).cast("long").alias("step"),
+def _double(linked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Over inner nodes: settled(id, root, depth, size), rest(id, jump) of those that lead into cycles, and whether there are any."""
+    leaves = linked.where("not inner and up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("leaves"))
+    # jump: the node reached so far, null once the root is passed; top: the root once known; gone: the steps to jump or top
+    state = cut(
+        linked.where("inner").join(leaves, "id", "left").select(
+            "id", F.col("up").alias("jump"), F.when(F.col("up").isNull(), F.col("id")).alias("top"),
+            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("gone"), (F.coalesce("leaves", F.lit(0)) + 1).cast("long").alias("part"),
+        )
     )
-    state = cut(state)
-    open_before = None
     for _ in range(MAX_ROUNDS):
+        rest, going = state.where(F.col("jump").isNull()), state.where(F.col("jump").isNotNull())
         # sums over the nodes that jump to a node: pre-aggregated before the shuffle, so a popular ancestor costs one row a task
-        below = state.where(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("key")).agg(F.sum("part").alias("more"))
-        merged = state.join(below, "key", "left").withColumn("sum", F.col("part") + F.coalesce("more", F.lit(0)))
-        target = state.select(F.col("key").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("gone").alias("gone2"))
-        going = merged.where(F.col("jump").isNotNull()).join(target, "jump", "left").select(
-            "key", "parent", F.col("jump2").alias("jump"), F.col("top2").alias("top"),
-            F.when(F.col("top2").isNotNull(), F.col("gone2") + F.col("step")).otherwise(F.col("gone")).alias("gone"),
-            F.col("sum").alias("part"), (F.col("step") * 2).alias("step"),
+        below = going.groupBy(F.col("jump").alias("id")).agg(F.sum("part").alias("more"))
+        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("gone").alias("gone2"))
+        moved = going.join(ahead, "jump").select("id", F.col("jump2").alias("jump"), F.col("top2").alias("top"), (F.col("gone") + F.col("gone2")).alias("gone"), "part", F.lit(True).alias("was"))
+        both = moved.unionByName(rest.withColumn("was", F.lit(False))).join(below, "id", "left")
+        state, seen = cut_observed(
+            both.select("id", "jump", "top", "gone", (F.col("part") + F.coalesce("more", F.lit(0))).alias("part"), "was"),
+            still=F.count_if(F.col("jump").isNotNull()), settled=F.count_if(F.col("was") & F.col("jump").isNull()),
         )
-        resting = merged.where(F.col("jump").isNull()).select("key", "parent", "jump", "top", "gone", F.col("sum").alias("part"), (F.col("step") * 2).alias("step"))
-        state = cut(resting.unionByName(going))
-        still = state.where(F.col("jump").isNotNull()).count()
-        if still == 0 or still == open_before:
+        state = state.drop("was")
+        # a node 2^k steps or more below its root has an ancestor that this round settles; without one the rest has no root
+        if not seen["still"] or not seen["settled"]:
             break
-        open_before = still
-    settled = state.where(F.col("jump").isNull()).select("key", "parent", F.col("top").alias("root_key"), F.col("gone").alias("node_depth"), F.col("part").alias("subtree_size"))
-    return settled, state.where(F.col("jump").isNotNull()).select("key", "parent", "jump")
+    done = state.where(F.col("jump").isNull()).select("id", F.col("top").alias("root"), F.col("gone").alias("depth"), F.col("part").alias("size"))
+    return done, state.where(F.col("jump").isNotNull()).select("id", "jump"), bool(seen["still"])
 
 
-def _cycles(rest: DataFrame) -> DataFrame:
-    """rest: key, parent, jump (a power-of-two ancestor), all leading into cycles. Returns key, cycle_key, members."""
-    hop = rest.select("key", "jump")
-    size = None
-    for _ in range(MAX_ROUNDS):  # the image of the doubled map shrinks to the cycles' members
-        image = hop.select(F.col("jump").alias("key")).distinct()
-        now = image.count()
-        if now == size:
-            break
-        size = now
-        hop = cut(hop.join(hop.select(F.col("key").alias("jump"), F.col("jump").alias("jump2")), "jump").select("key", F.col("jump2").alias("jump")))
-    on_cycle = cut(image.join(rest.select("key", "parent"), "key"))
-    low = on_cycle.select("key", F.least("key", "parent").alias("low"), F.col("parent").alias("at"))
-    step = on_cycle.select("key", F.col("parent").alias("next"))
-    for _ in range(MAX_ROUNDS):  # smallest key among the next 2^k members
-        wrong = low.join(step, "key").join(low.select(F.col("key").alias("next"), F.col("low").alias("low2")), "next").where("low <> low2")
-        if wrong.isEmpty():
-            break
-        ahead = low.select(F.col("key").alias("at"), F.col("low").alias("low2"), F.col("at").alias("at2"))
-        low = cut(low.join(ahead, "at").select("key", F.least("low", "low2").alias("low"), F.col("at2").alias("at")))
-    members = low.groupBy("low").agg(F.sort_array(F.collect_list("key")).alias("members"))
-    # hop leads every node onto its cycle
-    return hop.join(low.select(F.col("key").alias("jump"), "low"), "jump").join(members, "low").select("key", F.col("low").alias("cycle_key"), "members")
+def _tree(linked: DataFrame, settled: DataFrame) -> DataFrame:
+    """id, key, up, inner, root, depth, size of all nodes of trees; leaves take root and depth from their parents."""
+    inner = linked.where("inner").join(settled, "id").select("id", "key", "up", "inner", "root", "depth", "size")
+    above = settled.select(F.col("id").alias("up"), "root", F.col("depth").alias("above"))
+    leaf = linked.where("not inner and up is not null").join(above, "up").select("id", "key", "up", "inner", "root", (F.col("above") + 1).alias("depth"), F.lit(1).cast("long").alias("size"))
+    alone = linked.where("not inner and up is null").select("id", "key", "up", "inner", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
+    return cut(inner.unionByName(leaf).unionByName(alone))
 
 
-def _chains(settled: DataFrame) -> DataFrame:
-    """Adds head (the chain's first node) and spot (offset in the chain, from 0) to the settled nodes."""
+def _heads(tree: DataFrame) -> DataFrame:
+    """id, head (the first node of its chain) and heavy (whether it continues its parent's chain) of the inner nodes."""
+    inner = tree.where("inner")
     heavy = (
-        settled.where(F.col("parent").isNotNull())
-        .groupBy("parent")
-        .agg(F.min(F.struct((-F.col("subtree_size")).alias("s"), F.col("key").alias("k"))).alias("m"))
-        .select(F.col("m.k").alias("key"), F.lit(True).alias("heavy"))
+        inner.where(F.col("up").isNotNull()).groupBy("up").agg(F.min(F.struct((-F.col("size")).alias("s"), "key", "id")).alias("m"))
+        .select(F.col("m.id").alias("id"), F.lit(True).alias("heavy"))
     )
-    state = cut(
-        settled.join(heavy, "key", "left").select(
-            "*", F.when(F.col("heavy"), F.col("parent")).alias("up"), F.when(F.col("heavy").isNull(), F.col("key")).alias("head")
-        ).drop("heavy")
+    state, seen = cut_observed(
+        inner.join(heavy, "id", "left").select(
+            "id", F.when(F.col("heavy"), F.col("up")).alias("hop"), F.when(F.col("heavy").isNull(), F.col("id")).alias("head"), F.coalesce("heavy", F.lit(False)).alias("heavy")
+        ),
+        still=F.count_if(F.col("head").isNull()),
     )
     for _ in range(MAX_ROUNDS):  # doubling along heavy edges only: one node a target, so no skew
-        if state.where(F.col("head").isNull()).isEmpty():
+        if not seen["still"]:
             break
-        ahead = state.select(F.col("key").alias("up"), F.col("head").alias("head2"), F.col("up").alias("up2"))
-        going = state.where(F.col("head").isNull()).join(ahead, "up").withColumn("head", F.col("head2")).withColumn("up", F.col("up2")).drop("head2", "up2")
-        state = cut(state.where(F.col("head").isNotNull()).unionByName(going))
-    top = state.where(F.col("key") == F.col("head")).select("head", F.col("node_depth").alias("head_depth"))
-    return state.drop("up").join(top, "head").withColumn("spot", F.col("node_depth") - F.col("head_depth")).drop("head_depth")
-
-
-def _chain_prefixes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns chains(head, segment: keys in order) and prefixes(head, prefix: keys above the chain)."""
-    chains = nodes.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("spot", "key"))).alias("s")).select("head", F.col("s.key").alias("segment"))
-    chains = cut(chains)
-    # where a chain hangs: its head's parent, in another chain
-    heads = nodes.where("key = head").select("head", F.col("parent").alias("joint"))
-    joints = nodes.select(F.col("key").alias("joint"), F.col("head").alias("above"), F.col("spot").alias("joint_spot"))
-    hung = heads.where(F.col("joint").isNotNull()).join(joints, "joint").join(chains.select(F.col("head").alias("above"), "segment"), "above")
-    state = cut(
-        heads.where(F.col("joint").isNull()).select("head", F.lit(None).cast("string").alias("above"), F.array().cast("array<string>").alias("prefix")).unionByName(
-            hung.select("head", "above", F.slice("segment", F.lit(1), (F.col("joint_spot") + 1).cast("int")).alias("prefix"))
-        )
-    )
+        ahead = state.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("head").alias("head2"))
+        moved = state.where(F.col("head").isNull()).join(ahead, "hop").select("id", F.col("hop2").alias("hop"), F.col("head2").alias("head"), "heavy")
+        state, seen = cut_observed(state.where(F.col("head").isNotNull()).unionByName(moved), still=F.count_if(F.col("head").isNull()))
+    return state.select("id", "head", "heavy")
+
+
+def _summed(state: DataFrame, add) -> DataFrame:
+    """state: head, above (the head of the chain it hangs from, null for none), value. The values from the topmost chain down, added up."""
+    state, seen = cut_observed(state, still=F.count_if(F.col("above").isNotNull()))
     for _ in range(MAX_ROUNDS):
-        if state.where(F.col("above").isNotNull()).isEmpty():
+        if not seen["still"]:
             break
-        ahead = state.select(F.col("head").alias("above"), F.col("above").alias("above2"), F.col("prefix").alias("prefix2"))
-        going = state.where(F.col("above").isNotNull()).join(ahead, "above").select("head", F.col("above2").alias("above"), F.concat("prefix2", "prefix").alias("prefix"))
-        state = cut(state.where(F.col("above").isNull()).unionByName(going))
-    return chains, state.select("head", "prefix")
+        ahead = state.select(F.col("head").alias("above"), F.col("above").alias("above2"), F.col("value").alias("value2"))
+        moved = state.where(F.col("above").isNotNull()).join(ahead, "above").select("head", F.col("above2").alias("above"), add(F.col("value2"), F.col("value")).alias("value"))
+        state, seen = cut_observed(state.where(F.col("above").isNull()).unionByName(moved), still=F.count_if(F.col("above").isNotNull()))
+    return state.select("head", "value")
 
 
-def _intervals(nodes: DataFrame) -> DataFrame:
-    """key, enter, leave: numbering within the root, heavy child first, then light children by key.
-
-    A light child's number is its parent's plus 1, the heavy child's size and the sizes of its earlier light siblings; along
-    a chain the number grows by 1. Offsets are summed over the chain tree by doubling.
-    """
-    light = nodes.where("key = head and parent is not null").select("parent", "key", "subtree_size", F.pmod(F.xxhash64("key"), F.lit(SIBLING_SLICES)).alias("slice"))
-    slices = light.groupBy("parent", "slice").agg(F.sum("subtree_size").alias("total"))
-    before = slices.withColumn("base", F.coalesce(F.sum("total").over(Window.partitionBy("parent").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("parent", "slice", "base")
-    inner = light.withColumn("run", F.coalesce(F.sum("subtree_size").over(Window.partitionBy("parent", "slice").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    heavy = nodes.where("key <> head").select("parent", F.col("subtree_size").alias("heavy_size"))
-    joint = nodes.select(F.col("key").alias("parent"), F.col("head").alias("above"), F.col("spot").alias("joint_spot"))
-    hung = (
-        inner.join(before, ["parent", "slice"]).join(heavy, "parent", "left").join(joint, "parent")
-        .select(F.col("key").alias("head"), "above", (F.col("joint_spot") + 1 + F.coalesce("heavy_size", F.lit(0)) + F.col("base") + F.col("run")).alias("off"))
-    )
-    roots = nodes.where("key = head and parent is null").select("head", F.lit(None).cast("string").alias("above"), F.lit(0).cast("long").alias("off"))
-    state = cut(roots.unionByName(hung))
-    for _ in range(MAX_ROUNDS):
-        if state.where(F.col("above").isNotNull()).isEmpty():
+def _cycles(linked: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of inner nodes that lead into cycles: on(id, cycle_key), and members(cycle_key, member_key) of the cycles."""
+    hop, size = rest, None
+    for _ in range(MAX_ROUNDS):  # the image of the doubled map shrinks to the cycles' members
+        image = cut(hop.select(F.col("jump").alias("id")).distinct())
+        now = image.count()  # equal sizes end the loop, so they are counted in what was written, not observed
+        if now == size:
+            break
+        size = now
+        hop = cut(hop.join(hop.select(F.col("id").alias("jump"), F.col("jump").alias("jump2")), "jump").select("id", F.col("jump2").alias("jump")))
+    ring = cut(image.join(linked.where("inner").select("id", "key", "up"), "id").select("id", "key", "up"))
+    low = ring.select("id", F.col("key").alias("low"), F.col("up").alias("at"))
+    for _ in range(MAX_ROUNDS):  # smallest key among the next 2^k members; if a round lowers none, all have their cycle's
+        ahead = low.select(F.col("id").alias("at"), F.col("low").alias("low2"), F.col("at").alias("at2"))
+        low, seen = cut_observed(
+            low.join(ahead, "at").select("id", F.least("low", "low2").alias("low"), F.col("at2").alias("at"), (F.col("low2") < F.col("low")).alias("new")), lowered=F.count_if("new")
+        )
+        low = low.drop("new")
+        if not seen["lowered"]:
             break
-        ahead = state.select(F.col("head").alias("above"), F.col("above").alias("above2"), F.col("off").alias("off2"))
-        going = state.where(F.col("above").isNotNull()).join(ahead, "above").select("head", F.col("above2").alias("above"), (F.col("off") + F.col("off2")).alias("off"))
-        state = cut(state.where(F.col("above").isNull()).unionByName(going))
-    return nodes.join(state.select("head", "off"), "head").select("key", (F.col("off") + F.col("spot")).alias("enter"), (F.col("off") + F.col("spot") + F.col("subtree_size") - 1).alias("leave"))
+    members = ring.join(low, "id").select(F.col("low").alias("cycle_key"), F.col("key").alias("member_key"))
+    return hop.join(low.select(F.col("id").alias("jump"), "low"), "jump").select("id", F.col("low").alias("cycle_key")), members
 
 
-def hierarchy(links: DataFrame, key: str = "key", parent: str = "parent", intervals: bool = False) -> DataFrame:
-    """Paths, depths, roots and subtree sizes of all nodes of a parent-child table.
+@dataclass
+class Hierarchy:
+    """What hierarchy() found; each table is planned when it is first asked for."""
 
-    links: one row per node; repeated keys keep the smallest non-null parent; rows with a null key are no nodes. A null parent
-    or one that is no key makes a root. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    linked: DataFrame
+    tree: DataFrame
+    rest: DataFrame | None
+
+    @cached_property
+    def _headed(self) -> DataFrame:
+        return _heads(self.tree)
+
+    @cached_property
+    def _ringed(self) -> tuple[DataFrame, DataFrame]:
+        return _cycles(self.linked, self.rest)
+
+    @cached_property
+    def _chains(self) -> DataFrame:
+        """head, joint (the node above the chain), depth (of the head), keys: one row per chain of inner nodes."""
+        rows = self.tree.where("inner").join(self._headed, "id").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("depth", "id", "key", "up"))).alias("m"))
+        return cut(rows.select("head", F.col("m")[0]["up"].alias("joint"), F.col("m")[0]["depth"].alias("depth"), F.col("m.id").alias("ids"), F.col("m.key").alias("keys")))
+
+    def _hung(self, columns: list[str]) -> DataFrame:
+        """Chains that hang from another: head, above, at (the joint's offset in the chain above)."""
+        lower = self._chains.where(F.col("joint").isNotNull()).select("head", "joint", F.col("depth").alias("deep"))
+        where = self._headed.select(F.col("id").alias("joint"), F.col("head").alias("above"))
+        upper = self._chains.select(F.col("head").alias("above"), "depth", *columns)
+        return lower.join(where, "joint").join(upper, "above").withColumn("at", F.col("deep") - 1 - F.col("depth"))
+
+    def paths(self) -> DataFrame:
+        """key, path (array of keys from the root) of all nodes of trees."""
+        none = F.array().cast("array<string>")
+        tops = self._chains.where(F.col("joint").isNull()).select("head", F.lit(None).cast("long").alias("above"), none.alias("value"))
+        hung = self._hung(["keys"]).select("head", "above", F.slice("keys", F.lit(1), (F.col("at") + 1).cast("int")).alias("value"))
+        prefixes = _summed(tops.unionByName(hung), lambda a, b: F.concat(a, b))
+        inner = self._chains.join(prefixes, "head").select(
+            F.posexplode("keys").alias("pos", "key"), "ids", "keys", F.col("value").alias("prefix")
+        ).select(F.col("ids")[F.col("pos")].alias("id"), "key", F.concat("prefix", F.slice("keys", F.lit(1), F.col("pos") + 1)).alias("path"))
+        leaf = self.tree.where("not inner and up is not null").select("key", F.col("up").alias("id")).join(inner.select("id", "path"), "id").select("key", F.concat("path", F.array("key")).alias("path"))
+        alone = self.tree.where("not inner and up is null").select("key", F.array("key").alias("path"))
+        return inner.select("key", "path").unionByName(leaf).unionByName(alone)
+
+    def intervals(self) -> DataFrame:
+        """key, root (the root's id), node_depth, subtree_size, enter, leave of all nodes of trees."""
+        tree, heads = self.tree, self._headed
+        heavy = heads.where("heavy").select("id")
+        light = tree.where(F.col("up").isNotNull()).join(heavy, "id", "left_anti").select("id", "up", "key", "size")
+        # a running sum over one global order: within a range partition, and what the parent's earlier partitions hold
+        ranged = cut(light.repartitionByRange("up", "key").withColumn("pid", F.spark_partition_id()))
+        before = Window.partitionBy("pid", "up").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        carry = Window.partitionBy("up").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+        nothing = F.lit(0).cast("long")
+        base = ranged.groupBy("up", "pid").agg(F.sum("size").alias("total")).select("up", "pid", F.coalesce(F.sum("total").over(carry), nothing).alias("base"))
+        run = ranged.withColumn("run", F.coalesce(F.sum("size").over(before), nothing))
+        first = tree.join(heavy, "id", "left_semi").select("up", F.col("size").alias("heavy_size"))
+        off = cut(run.join(base, ["up", "pid"]).join(first, "up", "left").select("id", "up", (F.col("run") + F.col("base") + F.coalesce("heavy_size", nothing) + 1).alias("off")))
+        tops = self._chains.where(F.col("joint").isNull()).select("head", F.lit(None).cast("long").alias("above"), nothing.alias("value"))
+        hung = self._hung([]).join(off.select(F.col("id").alias("head"), "off"), "head").select("head", "above", (F.col("at") + F.col("off")).alias("value"))
+        enters = _summed(tops.unionByName(hung), lambda a, b: a + b)
+        spots = self._chains.join(enters, "head").select(F.posexplode("ids").alias("pos", "id"), (F.col("value") + F.col("pos")).alias("enter")).select("id", "enter")
+        inner = tree.where("inner").join(spots, "id")
+        leaf = tree.where("not inner").join(off, ["id", "up"]).join(spots.select(F.col("id").alias("up"), F.col("enter").alias("above")), "up").withColumn("enter", F.col("above") + F.col("off")).drop("above", "off")
+        alone = tree.where("not inner and up is null").withColumn("enter", nothing)
+        return inner.unionByName(leaf).unionByName(alone).select("key", "root", F.col("depth").alias("node_depth"), F.col("size").alias("subtree_size"), "enter", (F.col("enter") + F.col("size") - 1).alias("leave"))
 
-    Returns key, root_key, node_depth, path (array of keys from the root), subtree_size, cycle_members; for a node on or below
-    a cycle root_key and path are null, node_depth is -1 and cycle_members holds the cycle's sorted keys. With intervals=True
-    also enter and leave: a node's descendants are those of its root with enter < their enter <= leave.
+    def sizes(self) -> DataFrame:
+        """key, root_key, node_depth, subtree_size of all nodes of trees."""
+        roots = self.tree.where(F.col("up").isNull()).select(F.col("id").alias("root"), F.col("key").alias("root_key"))
+        return self.tree.join(roots, "root").select("key", "root_key", F.col("depth").alias("node_depth"), F.col("size").alias("subtree_size"))
+
+    def cyclic(self) -> DataFrame:
+        """key, cycle_key (the smallest key on the cycle) of all nodes on or below a cycle."""
+        if self.rest is None:
+            return self.linked.select("key", F.lit(None).cast("string").alias("cycle_key")).where(F.lit(False))
+        on = cut(self._ringed[0])
+        inner = self.linked.where("inner").join(on, "id").select("key", "cycle_key")
+        leaf = self.linked.where("not inner and up is not null").join(on.select(F.col("id").alias("up"), "cycle_key"), "up").select("key", "cycle_key")
+        return inner.unionByName(leaf)
+
+    def members(self) -> DataFrame:
+        """cycle_key, member_key: one row per node on a cycle."""
+        if self.rest is None:
+            return self.linked.select(F.lit(None).cast("string").alias("cycle_key"), F.col("key").alias("member_key")).where(F.lit(False))
+        return self._ringed[1]
+
+    def descendants(self) -> DataFrame:
+        """ancestor_key, descendant_key, distance of all proper pairs, from the intervals.
+
+        An interval is cut at multiples of BLOCK numbers; a piece meets the nodes of its block only. So the pieces and pairs looked
+        at are at most the pairs that come out plus some BLOCK for each node, and a hot root's pieces lie in as many groups as its
+        tree has blocks.
+        """
+        at = cut(self.intervals())
+        block = lambda c: F.floor(F.col(c) / F.lit(BLOCK)).cast("long")
+        low = at.select("root", block("enter").alias("block"), F.col("key").alias("descendant_key"), F.col("enter").alias("spot"), F.col("node_depth").alias("deep"))
+        up = at.where("leave > enter").select("root", F.explode(F.sequence(block("enter"), block("leave"))).alias("block"), F.col("key").alias("ancestor_key"), "enter", "leave", "node_depth")
+        return up.join(low, ["root", "block"]).where("spot > enter and spot <= leave").select("ancestor_key", "descendant_key", (F.col("deep") - F.col("node_depth")).alias("distance"))
+
+
+def hierarchy(links: DataFrame, key: str = "key", parent: str = "parent") -> Hierarchy:
+    """Paths, depths, roots, subtree sizes, descendants and cycles of all nodes of a parent-child table.
+
+    links: one row per node; repeated keys keep the smallest non-null parent; rows with a null key are no nodes. A null parent
+    or one that is no key makes a root. Other columns are ignored, whatever their names. An empty table gives empty results.
+    A node on or below a cycle is in cyclic() only, any other in paths(), intervals() and sizes() only.
     """
-    rows = links.select(F.col(key).cast("string").alias("key"), F.col(parent).cast("string").alias("parent")).where(F.col("key").isNotNull())
-    rows = rows.groupBy("key").agg(F.min("parent").alias("parent"))
-    known = rows.select(F.col("key").alias("parent"), F.lit(True).alias("known"))
-    nodes = rows.join(known, "parent", "left").select("key", F.when(F.col("known"), F.col("parent")).alias("parent"))
-    settled, rest = _double(nodes)
-    tree = cut(_chains(settled))
-    chains, prefixes = _chain_prefixes(tree)
-    out = (
-        tree.join(chains, "head").join(prefixes, "head")
-        .select("key", "root_key", "node_depth", F.concat("prefix", F.slice("segment", F.lit(1), (F.col("spot") + 1).cast("int"))).alias("path"), "subtree_size",
-                F.lit(None).cast("array<string>").alias("cycle_members"))
-    )
-    if intervals:
-        out = out.join(_intervals(tree), "key")
-    if not rest.isEmpty():
-        nil = F.lit(None)
-        bad = _cycles(rest).select("key", nil.cast("string").alias("root_key"), F.lit(-1).cast("long").alias("node_depth"), nil.cast("array<string>").alias("path"), nil.cast("long").alias("subtree_size"), F.col("members").alias("cycle_members"))
-        if intervals:
-            bad = bad.withColumn("enter", nil.cast("long")).withColumn("leave", nil.cast("long"))
-        out = out.unionByName(bad)
-    return out
+    linked = _linked(links, key, parent)
+    settled, rest, cyclic = _double(linked)
+    return Hierarchy(linked, _tree(linked, settled), rest if cyclic else None)
 
 
-def descendants(tree: DataFrame) -> DataFrame:
-    """ancestor_key, descendant_key, distance for all proper pairs of the trees that hierarchy() found.
+def node_paths(forest: Hierarchy, step: str = " > ", ring: str = "|") -> DataFrame:
+    """key, root_key, node_depth, node_path: one row per node, the path as text.
 
-    The rows come from the nodes' own paths, so a hot root is never joined with its descendants.
+    A node on or below a cycle has root_key '', node_depth -1 and the cycle's sorted members as its path.
     """
-    return (
-        tree.where("node_depth > 0")
-        .select(F.col("key").alias("descendant_key"), "node_depth", F.posexplode(F.slice("path", F.lit(1), F.col("node_depth").cast("int"))).alias("pos", "ancestor_key"))
-        .select("ancestor_key", "descendant_key", (F.col("node_depth") - F.col("pos")).alias("distance"))
-    )
+    trees = forest.paths().select("key", F.col("path")[0].alias("root_key"), (F.size("path") - 1).cast("long").alias("node_depth"), F.array_join("path", step).alias("node_path"))
+    if forest.rest is None:
+        return trees
+    rings = forest.members().groupBy("cycle_key").agg(F.array_join(F.sort_array(F.collect_list("member_key")), ring).alias("node_path"))
+    return trees.unionByName(forest.cyclic().join(rings, "cycle_key").select("key", F.lit("").alias("root_key"), F.lit(-1).cast("long").alias("node_depth"), "node_path"))

@@ -16,23 +16,24 @@ from factloom.sources import poms
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _tree(spark: SparkSession, d: str, intervals: bool = False) -> DataFrame:
-    return hierarchy.hierarchy(poms.latest_links(table(spark, d, "raw_poms")), "pom_key", "parent_key", intervals)
+def _forest(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+    return hierarchy.hierarchy(poms.latest_links(table(spark, d, "raw_poms")), "pom_key", "parent_key")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select(
-        F.col("key").alias("pom_key"), F.coalesce("root_key", F.lit("")).alias("root_key"), "node_depth",
-        F.coalesce(F.array_join("path", " > "), F.array_join("cycle_members", "|")).alias("node_path"),
-    )
+    return hierarchy.node_paths(_forest(spark, d)).withColumnRenamed("key", "pom_key")
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(_tree(spark, d))
+    return _forest(spark, d).descendants()
 
 
 def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d, True).where("node_depth >= 0").select("key", "root_key", "node_depth", "subtree_size", "enter", "leave")
+    return _forest(spark, d).intervals().select("key", "node_depth", "subtree_size", "enter", "leave")
+
+
+def p1_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return _forest(spark, d).members()
 
 
 # operators that need array libraries on the driver are imported by the queries that use them
@@ -77,7 +78,7 @@ def _wide(kind: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_descendants, p1_intervals, p2_found, p2_summary, p3_found, p3_components, p3_findings, p4_found)}
+    out: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_descendants, p1_intervals, p1_cycles, p2_found, p2_summary, p3_found, p3_components, p3_findings, p4_found)}
     for kind in ("component", "artifact", "metric"):
         out[f"p4_{kind}_table"] = _wide(kind)
     return out | supply_queries.queries() | fact_queries.queries()

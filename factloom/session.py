@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut(), and aggregates over the rows taken while they are written, so that no second job has to read them.
+
+    A task that runs again may be counted twice, so only whether a count is 0 may decide anything.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, *(m.alias(n) for n, m in metrics.items())).checkpoint(eager=True)
+    return out, seen.get
+
+
 #: White space of any kind, as a regular-expression class that Java and RE2 both understand.
 SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
 

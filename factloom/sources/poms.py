@@ -20,8 +20,10 @@ def interpolate(value: Column, properties: Column) -> Column:
         step = F.aggregate(names(v), v, lambda acc, n: F.replace(acc, F.concat(F.lit("${"), n, F.lit("}")), F.try_element_at(properties, n)))
         return F.when(v.isNull() | ~v.contains("${"), v).otherwise(step)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PASSES - 1)), filled(value), once)
-    return filled(F.when(F.size(names(done)) == 0, done))
+    plain = filled(value)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PASSES - 1)), plain, once)
+    # most values hold no placeholder: they never reach the interpreted passes
+    return F.when(plain.contains("${"), filled(F.when(F.size(names(done)) == 0, done))).otherwise(plain)
 
 
 def coordinates(poms: DataFrame) -> DataFrame:
@@ -35,7 +37,9 @@ def coordinates(poms: DataFrame) -> DataFrame:
     given = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("parent.groupId", pg), ("parent.artifactId", pa), ("parent.version", pv)))), lambda e: e["value"].isNotNull())
     kept = F.filter(own, lambda e: ~F.exists(given, lambda g: g["key"] == e["key"]))
     props = F.map_from_entries(F.concat(kept, given))
-    df = poms.withColumn("_p", props)
+    # the map is built only for rows that have something to replace
+    asked = F.concat_ws(" ", "group_id", "artifact_id", "pom_version", "parent_group_id", "parent_artifact_id", "parent_version").contains("${")
+    df = poms.withColumn("_p", F.when(asked, props))
     group = interpolate(F.coalesce(filled("group_id"), pg), F.col("_p"))
     artifact = interpolate(F.col("artifact_id"), F.col("_p"))
     up_group, up_artifact = interpolate(pg, F.col("_p")), interpolate(pa, F.col("_p"))

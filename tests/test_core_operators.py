@@ -24,6 +24,15 @@ def test_p1_matches_brute_force(spark, sf):
     assert got == {k: (root or "", depth, " > ".join(path) if path else "|".join(ring)) for k, (root, depth, path, ring) in want.items()}
 
 
+def found(forest):
+    """key -> (root, depth, path, cycle members) of all nodes."""
+    rings = {r.cycle_key: r.m for r in forest.members().groupBy("cycle_key").agg(F.sort_array(F.collect_list("member_key")).alias("m")).collect()}
+    out = {r.key: (r.path[0], len(r.path) - 1, r.path, None) for r in forest.paths().collect()}
+    cyclic = {r.key: (None, -1, None, rings[r.cycle_key]) for r in forest.cyclic().collect()}
+    assert not out.keys() & cyclic.keys()
+    return out | cyclic
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_hierarchy_random_forests_with_cycles(spark, seed):
     rnd = random.Random(seed)
@@ -31,31 +40,39 @@ def test_hierarchy_random_forests_with_cycles(spark, seed):
     links = {f"n{i}": (None if rnd.random() < 0.1 else f"n{max(0, i - rnd.randint(1, 5)) if rnd.random() < 0.9 else rnd.randrange(n)}") for i in range(n)}
     links["n3"] = "n3"
     df = spark.createDataFrame([(k, p, "x") for k, p in links.items()], "key string, parent string, jump string")
-    got = {r.key: r for r in hierarchy.hierarchy(df, intervals=True).collect()}
+    forest = hierarchy.hierarchy(df)
     want = brute.hierarchy(links)
-    assert {k: (r.root_key, r.node_depth, r.path, r.cycle_members) for k, r in got.items()} == want
-    for a in want:
-        for b in want:
-            ra, rb = got[a], got[b]
-            if ra.path and rb.path:
-                inside = ra.root_key == rb.root_key and ra.enter < rb.enter <= ra.leave
-                assert inside == (a != b and a in rb.path), (a, b)
-    for k, r in got.items():
-        if r.path:
-            assert r.subtree_size == sum(1 for x in want.values() if x[2] and k in x[2])
+    assert found(forest) == want
+    trees = {k: v for k, v in want.items() if v[2]}
+    got = {r.key: r for r in forest.intervals().collect()}
+    assert got.keys() == trees.keys()
+    for a, ra in got.items():
+        assert (ra.node_depth, ra.subtree_size) == (trees[a][1], sum(1 for v in trees.values() if a in v[2]))
+        for b, rb in got.items():
+            inside = ra.root == rb.root and ra.enter < rb.enter <= ra.leave
+            assert inside == (a != b and a in trees[b][2]), (a, b)
+    assert sorted(tuple(r) for r in forest.sizes().collect()) == sorted((k, v[0], v[1], got[k].subtree_size) for k, v in trees.items())
+    pairs = sorted((a, k, v[1] - i) for k, v in trees.items() for i, a in enumerate(v[2][:-1]))
+    assert sorted(tuple(r) for r in forest.descendants().collect()) == pairs
 
 
 def test_hierarchy_long_chain_and_hot_root(spark):
-    links = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)] + [(f"leaf{i}", "hot") for i in range(300)] + [("hot", None), (None, "hot")]
-    out = hierarchy.hierarchy(spark.createDataFrame(links, "key string, parent string"))
-    got = {r.key: r for r in out.collect()}
-    assert got["c69"].node_depth == 69 and got["c69"].path == [f"c{i}" for i in range(70)]
-    assert got["hot"].subtree_size == 301 and len(got) == 371
-    assert hierarchy.descendants(out).where("ancestor_key = 'hot'").count() == 300
-
-
-def test_hierarchy_empty(spark):
-    assert hierarchy.hierarchy(spark.createDataFrame([], "key string, parent string")).count() == 0
+    links = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(70)] + [(f"leaf{i}", "hot") for i in range(300)] + [("hot", None), (None, "hot"), ("lone", "nowhere")]
+    links += [(f"r{i}", f"r{(i + 1) % 30}") for i in range(30)] + [("below", "r7"), ("under", "below")]
+    forest = hierarchy.hierarchy(spark.createDataFrame(links, "key string, parent string"))
+    got = found(forest)
+    assert got["c69"][1:3] == (69, [f"c{i}" for i in range(70)]) and got["lone"][1:3] == (0, ["lone"])
+    assert len(got) == 404 and len(got["under"][3]) == 30 and got["under"] == got["below"] == got["r0"]
+    assert forest.sizes().where("key = 'hot'").first().subtree_size == 301
+    assert forest.descendants().where("ancestor_key = 'hot'").count() == 300
+    assert forest.members().count() == 30  # members stand once, however many nodes the cycle carries
+
+
+def test_hierarchy_empty_and_only_cycles(spark):
+    empty = hierarchy.hierarchy(spark.createDataFrame([], "key string, parent string"))
+    assert not any(t.count() for t in (empty.paths(), empty.intervals(), empty.sizes(), empty.descendants(), empty.cyclic(), empty.members()))
+    ring = hierarchy.hierarchy(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c")], "key string, parent string"))
+    assert ring.paths().count() == 0 and {tuple(r) for r in ring.cyclic().collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
 def test_interpolation(spark):
