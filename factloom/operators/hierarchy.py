@@ -46,69 +46,96 @@ def _linked(links: DataFrame, key: str, parent: str) -> DataFrame:
     up = rows.select(F.col("key").alias("parent"), F.col("id").alias("up"))
     named = rows.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("key")).agg(F.lit(True).alias("inner"))
     # nulls are kept out of the join: they would all meet in one task
-    below = rows.where(F.col("parent").isNotNull()).join(up, "parent", "left").select("id", "key", "up")
+    below = rows.where(F.col("parent").isNotNull()).join(up.hint("merge"), "parent", "left").select("id", "key", "up")
     top = rows.where(F.col("parent").isNull()).select("id", "key", F.lit(None).cast("long").alias("up"))
-    return cut(below.unionByName(top).join(named, "key", "left").select("id", "key", "up", F.coalesce("inner", F.lit(False)).alias("inner")))
+    return cut(below.unionByName(top).join(named.hint("merge"), "key", "left").select("id", "key", "up", F.coalesce("inner", F.lit(False)).alias("inner")))
 
 
-def _double(linked: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """Over inner nodes: settled(id, root, depth, size), rest(id, jump) of those that lead into cycles, and whether there are any."""
+def _ahead(rows: DataFrame, state: DataFrame, jump: str, columns: list[str]) -> DataFrame:
+    """rows with columns of the node that `jump` names, as ahead_COLUMN; null where jump is null.
+
+    State grows with the data, so it is never broadcast. Rows that jump nowhere get keys of their own that no node has, lest all
+    nulls meet in one task. The state is shuffled once for all hops of a round.
+    """
+    there = state.select(F.col("id").alias("_there"), *(F.col(c).alias(f"ahead_{c}") for c in columns))
+    return rows.withColumn("_there", F.coalesce(jump, -1 - F.col("id"))).join(there.hint("merge"), "_there", "left").drop("_there")
+
+
+def _double(linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Over inner nodes: settled(id, root, depth, size), and rest(id, jump, low) of those that lead into cycles, if there are any.
+
+    A round doubles twice: three hops of the present length. low is the smallest id among a node and those it has jumped over.
+    """
     leaves = linked.where("not inner and up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("leaves"))
     # jump: the node reached so far, null once the root is passed; top: the root once known; gone: the steps to jump or top
     state = cut(
-        linked.where("inner").join(leaves, "id", "left").select(
+        linked.where("inner").join(leaves.hint("merge"), "id", "left").select(
             "id", F.col("up").alias("jump"), F.when(F.col("up").isNull(), F.col("id")).alias("top"),
-            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("gone"), (F.coalesce("leaves", F.lit(0)) + 1).cast("long").alias("part"),
+            F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("gone"), (F.coalesce("leaves", F.lit(0)) + 1).cast("long").alias("part"), F.col("id").alias("low"),
+            F.col("up").isNotNull().alias("open"),
         )
     )
     for _ in range(MAX_ROUNDS):
-        rest, going = state.where(F.col("jump").isNull()), state.where(F.col("jump").isNotNull())
+        moved = state.where("open").withColumn("first_jump", F.col("jump"))
+        for hop in ("first", "second", "third"):
+            moved = _ahead(moved, state, "jump", ["jump", "top", "gone", "low"]).select(
+                "id", "part", *(f"{h}_jump" for h in ("first", "second", "third") if h <= hop or h == "first"),
+                F.col("ahead_jump").alias("jump"), F.coalesce("top", "ahead_top").alias("top"), (F.col("gone") + F.coalesce("ahead_gone", F.lit(0))).alias("gone"),
+                F.least("low", "ahead_low").alias("low"), *([F.col("ahead_jump").alias({"first": "second_jump", "second": "third_jump"}[hop])] if hop != "third" else []),
+            )
+        moved = cut(moved)
         # sums over the nodes that jump to a node: pre-aggregated before the shuffle, so a popular ancestor costs one row a task
-        below = going.groupBy(F.col("jump").alias("id")).agg(F.sum("part").alias("more"))
-        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("gone").alias("gone2"))
-        moved = going.join(ahead, "jump").select("id", F.col("jump2").alias("jump"), F.col("top2").alias("top"), (F.col("gone") + F.col("gone2")).alias("gone"), "part", F.lit(True).alias("was"))
-        both = moved.unionByName(rest.withColumn("was", F.lit(False))).join(below, "id", "left")
+        targets = F.array_compact(F.array("first_jump", "second_jump", "third_jump"))
+        below = moved.select(F.explode(targets).alias("id"), "part").groupBy("id").agg(F.sum("part").alias("more"))
+        kept = state.where("not open").select("id", "jump", "top", "gone", "part", "low", F.lit(False).alias("was"))
+        both = moved.select("id", "jump", "top", "gone", "part", "low", F.lit(True).alias("was")).unionByName(kept)
         state, seen = cut_observed(
-            both.select("id", "jump", "top", "gone", (F.col("part") + F.coalesce("more", F.lit(0))).alias("part"), "was"),
-            still=F.count_if(F.col("jump").isNotNull()), settled=F.count_if(F.col("was") & F.col("jump").isNull()),
+            both.join(below.hint("merge"), "id", "left").select("id", "jump", "top", "gone", (F.col("part") + F.coalesce("more", F.lit(0))).alias("part"), "low", F.col("jump").isNotNull().alias("open"), "was"),
+            still=F.count_if("open"), settled=F.count_if(F.col("was") & ~F.col("open")),
         )
         state = state.drop("was")
-        # a node 2^k steps or more below its root has an ancestor that this round settles; without one the rest has no root
+        # a node too deep for this round has an ancestor that this round settles; without one the rest has no root
         if not seen["still"] or not seen["settled"]:
             break
-    done = state.where(F.col("jump").isNull()).select("id", F.col("top").alias("root"), F.col("gone").alias("depth"), F.col("part").alias("size"))
-    return done, state.where(F.col("jump").isNotNull()).select("id", "jump"), bool(seen["still"])
+    done = state.where("not open").select("id", F.col("top").alias("root"), F.col("gone").alias("depth"), F.col("part").alias("size"))
+    return done, state.where("open").select("id", "jump", "low") if seen["still"] else None
 
 
 def _tree(linked: DataFrame, settled: DataFrame) -> DataFrame:
     """id, key, up, inner, root, depth, size of all nodes of trees; leaves take root and depth from their parents."""
-    inner = linked.where("inner").join(settled, "id").select("id", "key", "up", "inner", "root", "depth", "size")
-    above = settled.select(F.col("id").alias("up"), "root", F.col("depth").alias("above"))
-    leaf = linked.where("not inner and up is not null").join(above, "up").select("id", "key", "up", "inner", "root", (F.col("above") + 1).alias("depth"), F.lit(1).cast("long").alias("size"))
-    alone = linked.where("not inner and up is null").select("id", "key", "up", "inner", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
-    return cut(inner.unionByName(leaf).unionByName(alone))
+    one = F.lit(1).cast("long")
+    owned = linked.where("inner or up is not null").withColumn("owner", F.when(F.col("inner"), F.col("id")).otherwise(F.col("up")))
+    there = settled.select(F.col("id").alias("owner"), "root", F.col("depth").alias("deep"), F.col("size").alias("full"))
+    below = owned.join(there.hint("merge"), "owner").select(
+        "id", "key", "up", "inner", "root", F.when(F.col("inner"), F.col("deep")).otherwise(F.col("deep") + 1).alias("depth"), F.when(F.col("inner"), F.col("full")).otherwise(one).alias("size")
+    )
+    alone = linked.where("not inner and up is null").select("id", "key", "up", "inner", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), one.alias("size"))
+    return cut(below.unionByName(alone))
 
 
 def _heads(tree: DataFrame) -> DataFrame:
-    """id, head (the first node of its chain) and heavy (whether it continues its parent's chain) of the inner nodes."""
+    """id, key, up, depth, head (the first node of its chain) and heavy (whether it continues its parent's chain) of the inner nodes."""
     inner = tree.where("inner")
     heavy = (
         inner.where(F.col("up").isNotNull()).groupBy("up").agg(F.min(F.struct((-F.col("size")).alias("s"), "key", "id")).alias("m"))
         .select(F.col("m.id").alias("id"), F.lit(True).alias("heavy"))
     )
     state, seen = cut_observed(
-        inner.join(heavy, "id", "left").select(
-            "id", F.when(F.col("heavy"), F.col("up")).alias("hop"), F.when(F.col("heavy").isNull(), F.col("id")).alias("head"), F.coalesce("heavy", F.lit(False)).alias("heavy")
+        inner.join(heavy.hint("merge"), "id", "left").select(
+            "id", "key", "up", "depth", F.when(F.col("heavy"), F.col("up")).alias("hop"), F.when(F.col("heavy").isNull(), F.col("id")).alias("head"), F.coalesce("heavy", F.lit(False)).alias("heavy"),
+            F.coalesce("heavy", F.lit(False)).alias("open"),
         ),
-        still=F.count_if(F.col("head").isNull()),
+        still=F.count_if("open"),
     )
-    for _ in range(MAX_ROUNDS):  # doubling along heavy edges only: one node a target, so no skew
+    for _ in range(MAX_ROUNDS):  # along heavy edges only: one node a target, so no skew
         if not seen["still"]:
             break
-        ahead = state.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("head").alias("head2"))
-        moved = state.where(F.col("head").isNull()).join(ahead, "hop").select("id", F.col("hop2").alias("hop"), F.col("head2").alias("head"), "heavy")
-        state, seen = cut_observed(state.where(F.col("head").isNotNull()).unionByName(moved), still=F.count_if(F.col("head").isNull()))
-    return state.select("id", "head", "heavy")
+        moved = state.where("open")
+        for _hop in range(3):
+            moved = _ahead(moved, state, "hop", ["hop", "head"]).select("id", "key", "up", "depth", F.col("ahead_hop").alias("hop"), F.coalesce("head", "ahead_head").alias("head"), "heavy")
+        kept = state.where("not open").withColumn("open", F.lit(False))
+        state, seen = cut_observed(kept.unionByName(moved.withColumn("open", F.col("head").isNull())), still=F.count_if("open"))
+    return state.drop("hop", "open")
 
 
 def _summed(state: DataFrame, add) -> DataFrame:
@@ -118,33 +145,31 @@ def _summed(state: DataFrame, add) -> DataFrame:
         if not seen["still"]:
             break
         ahead = state.select(F.col("head").alias("above"), F.col("above").alias("above2"), F.col("value").alias("value2"))
-        moved = state.where(F.col("above").isNotNull()).join(ahead, "above").select("head", F.col("above2").alias("above"), add(F.col("value2"), F.col("value")).alias("value"))
+        moved = state.where(F.col("above").isNotNull()).join(ahead.hint("merge"), "above").select("head", F.col("above2").alias("above"), add(F.col("value2"), F.col("value")).alias("value"))
         state, seen = cut_observed(state.where(F.col("above").isNull()).unionByName(moved), still=F.count_if(F.col("above").isNotNull()))
     return state.select("head", "value")
 
 
 def _cycles(linked: DataFrame, rest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of inner nodes that lead into cycles: on(id, cycle_key), and members(cycle_key, member_key) of the cycles."""
-    hop, size = rest, None
-    for _ in range(MAX_ROUNDS):  # the image of the doubled map shrinks to the cycles' members
-        image = cut(hop.select(F.col("jump").alias("id")).distinct())
-        now = image.count()  # equal sizes end the loop, so they are counted in what was written, not observed
-        if now == size:
-            break
-        size = now
-        hop = cut(hop.join(hop.select(F.col("id").alias("jump"), F.col("jump").alias("jump2")), "jump").select("id", F.col("jump2").alias("jump")))
-    ring = cut(image.join(linked.where("inner").select("id", "key", "up"), "id").select("id", "key", "up"))
-    low = ring.select("id", F.col("key").alias("low"), F.col("up").alias("at"))
-    for _ in range(MAX_ROUNDS):  # smallest key among the next 2^k members; if a round lowers none, all have their cycle's
-        ahead = low.select(F.col("id").alias("at"), F.col("low").alias("low2"), F.col("at").alias("at2"))
-        low, seen = cut_observed(
-            low.join(ahead, "at").select("id", F.least("low", "low2").alias("low"), F.col("at2").alias("at"), (F.col("low2") < F.col("low")).alias("new")), lowered=F.count_if("new")
-        )
-        low = low.drop("new")
-        if not seen["lowered"]:
+    """Of inner nodes that lead into cycles: on(id, cycle_key), and members(cycle_key, member_key) of the cycles.
+
+    What the nodes jump to are the cycles' members once the jumps are longer than all tails, and then low is the smallest id of a
+    member's cycle once the jumps are longer than all cycles. Both hold exactly if no node is lowered any more and each member has
+    one member before it; until then the doubling goes on.
+    """
+    for _ in range(MAX_ROUNDS):
+        on = cut(_ahead(rest, rest, "jump", ["jump", "low"]))
+        ring = on.groupBy(F.col("jump").alias("id")).agg(F.max("ahead_low").alias("low"), F.lit(1).alias("on"))
+        ring = cut(linked.where("inner").join(ring.hint("merge"), "id").select("id", "key", "up", "low"))
+        before = ring.groupBy(F.col("up").alias("id")).agg(F.count("*").alias("n"))
+        _, seen = cut_observed(before, twice=F.count_if(F.col("n") > 1))
+        lowered = on.where(F.col("ahead_low") < F.col("low")).join(ring.select("id").hint("merge"), "id", "left_semi").isEmpty()
+        if not seen["twice"] and lowered:
             break
-    members = ring.join(low, "id").select(F.col("low").alias("cycle_key"), F.col("key").alias("member_key"))
-    return hop.join(low.select(F.col("id").alias("jump"), "low"), "jump").select("id", F.col("low").alias("cycle_key")), members
+        rest = on.select("id", F.col("ahead_jump").alias("jump"), F.least("low", "ahead_low").alias("low"))
+    names = ring.groupBy("low").agg(F.min("key").alias("cycle_key"))
+    members = ring.join(names.hint("merge"), "low").select("cycle_key", F.col("key").alias("member_key"))
+    return on.select("id", F.col("ahead_low").alias("low")).join(names.hint("merge"), "low").select("id", "cycle_key"), members
 
 
 @dataclass
@@ -166,7 +191,7 @@ class Hierarchy:
     @cached_property
     def _chains(self) -> DataFrame:
         """head, joint (the node above the chain), depth (of the head), keys: one row per chain of inner nodes."""
-        rows = self.tree.where("inner").join(self._headed, "id").groupBy("head").agg(F.sort_array(F.collect_list(F.struct("depth", "id", "key", "up"))).alias("m"))
+        rows = self._headed.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("depth", "id", "key", "up"))).alias("m"))
         return cut(rows.select("head", F.col("m")[0]["up"].alias("joint"), F.col("m")[0]["depth"].alias("depth"), F.col("m.id").alias("ids"), F.col("m.key").alias("keys")))
 
     def _hung(self, columns: list[str]) -> DataFrame:
@@ -174,7 +199,7 @@ class Hierarchy:
         lower = self._chains.where(F.col("joint").isNotNull()).select("head", "joint", F.col("depth").alias("deep"))
         where = self._headed.select(F.col("id").alias("joint"), F.col("head").alias("above"))
         upper = self._chains.select(F.col("head").alias("above"), "depth", *columns)
-        return lower.join(where, "joint").join(upper, "above").withColumn("at", F.col("deep") - 1 - F.col("depth"))
+        return lower.join(where.hint("merge"), "joint").join(upper.hint("merge"), "above").withColumn("at", F.col("deep") - 1 - F.col("depth"))
 
     def paths(self) -> DataFrame:
         """key, path (array of keys from the root) of all nodes of trees."""
@@ -182,10 +207,10 @@ class Hierarchy:
         tops = self._chains.where(F.col("joint").isNull()).select("head", F.lit(None).cast("long").alias("above"), none.alias("value"))
         hung = self._hung(["keys"]).select("head", "above", F.slice("keys", F.lit(1), (F.col("at") + 1).cast("int")).alias("value"))
         prefixes = _summed(tops.unionByName(hung), lambda a, b: F.concat(a, b))
-        inner = self._chains.join(prefixes, "head").select(
+        inner = self._chains.join(prefixes.hint("merge"), "head").select(
             F.posexplode("keys").alias("pos", "key"), "ids", "keys", F.col("value").alias("prefix")
         ).select(F.col("ids")[F.col("pos")].alias("id"), "key", F.concat("prefix", F.slice("keys", F.lit(1), F.col("pos") + 1)).alias("path"))
-        leaf = self.tree.where("not inner and up is not null").select("key", F.col("up").alias("id")).join(inner.select("id", "path"), "id").select("key", F.concat("path", F.array("key")).alias("path"))
+        leaf = self.tree.where("not inner and up is not null").select("key", F.col("up").alias("id")).join(inner.select("id", "path").hint("merge"), "id").select("key", F.concat("path", F.array("key")).alias("path"))
         alone = self.tree.where("not inner and up is null").select("key", F.array("key").alias("path"))
         return inner.select("key", "path").unionByName(leaf).unionByName(alone)
 
@@ -221,10 +246,8 @@ class Hierarchy:
         """key, cycle_key (the smallest key on the cycle) of all nodes on or below a cycle."""
         if self.rest is None:
             return self.linked.select("key", F.lit(None).cast("string").alias("cycle_key")).where(F.lit(False))
-        on = cut(self._ringed[0])
-        inner = self.linked.where("inner").join(on, "id").select("key", "cycle_key")
-        leaf = self.linked.where("not inner and up is not null").join(on.select(F.col("id").alias("up"), "cycle_key"), "up").select("key", "cycle_key")
-        return inner.unionByName(leaf)
+        owned = self.linked.where("inner or up is not null").select("key", F.when(F.col("inner"), F.col("id")).otherwise(F.col("up")).alias("id"))
+        return owned.join(self._ringed[0].hint("merge"), "id").select("key", "cycle_key")
 
     def members(self) -> DataFrame:
         """cycle_key, member_key: one row per node on a cycle."""
@@ -254,8 +277,8 @@ def hierarchy(links: DataFrame, key: str = "key", parent: str = "parent") -> Hie
     A node on or below a cycle is in cyclic() only, any other in paths(), intervals() and sizes() only.
     """
     linked = _linked(links, key, parent)
-    settled, rest, cyclic = _double(linked)
-    return Hierarchy(linked, _tree(linked, settled), rest if cyclic else None)
+    settled, rest = _double(linked)
+    return Hierarchy(linked, _tree(linked, settled), rest)
 
 
 def node_paths(forest: Hierarchy, step: str = " > ", ring: str = "|") -> DataFrame:

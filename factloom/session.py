@@ -38,10 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A checkpoint keeps the estimated size of the plan it came from. That of a join is the product of its sides, so in a loop its
+    digits double with every round, until planning takes longer than the work; a frame over the written rows alone has none."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    done = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it back: reliable, unlike a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _written(df)
 
 
 def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -49,10 +57,8 @@ def cut_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict[str,
 
     A task that runs again may be counted twice, so only whether a count is 0 may decide anything.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
-    out = df.observe(seen, *(m.alias(n) for n, m in metrics.items())).checkpoint(eager=True)
-    return out, seen.get
+    return _written(df.observe(seen, *(m.alias(n) for n, m in metrics.items()))), seen.get
 
 
 #: White space of any kind, as a regular-expression class that Java and RE2 both understand.
