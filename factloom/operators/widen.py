@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from factloom.session import filled, trimmed
 
-#: Value types of the registry and the typed buffer each is carried in. Whole numbers come out as decimal(38,0), decimals keep 12 places.
-BUFFERS = {"string": "s", "int": "n", "decimal": "n", "boolean": "b", "date": "d", "timestamp": "t", "string_list": "l"}
+#: Value types of the registry and the typed buffer each is carried in. A whole number of more than 38 digits, or a decimal of more than
+#: 26 before or 12 after the point, has no exact value of its column's type: it goes into the map exact_numbers as canonical text.
+BUFFERS = {"string": "s", "int": "w", "decimal": "n", "boolean": "b", "date": "d", "timestamp": "t", "string_list": "l"}
 SQL_TYPES = {"string": "string", "int": "decimal(38,0)", "decimal": "decimal(38,12)", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "string_list": "array<string>"}
-_WHOLE = pa.decimal128(38, 0)
-_ARROW = {"s": pa.string(), "n": pa.decimal128(38, 12), "b": pa.bool_(), "d": pa.date32(), "t": pa.timestamp("us"), "l": pa.list_(pa.string())}
+_ARROW = {"s": pa.string(), "w": pa.decimal128(38, 0), "n": pa.decimal128(38, 12), "b": pa.bool_(), "d": pa.date32(), "t": pa.timestamp("us"), "l": pa.list_(pa.string())}
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -31,13 +31,32 @@ def key_form(c: Column | str) -> Column:
     return F.translate(F.lower(F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]+", "")), "_", "-")
 
 
+def _canonical(sign: Column, whole: Column, fraction: Column) -> Column:
+    """A number in plain notation from its digits, without needless zeros."""
+    w, f = F.regexp_replace(whole, "^0+(?=.)", ""), F.regexp_replace(fraction, "0+$", "")
+    text = F.when(f == "", w).otherwise(F.concat(w, F.lit("."), f))
+    return F.when(text == "0", text).otherwise(F.concat(F.when(sign == "-", "-").otherwise(""), text))
+
+
 def _whole(t: Column) -> Column:
+    """A whole number as canonical text, of any length; commas may separate thousands."""
     plain = F.when(t.rlike(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)(\.0+)?$"), F.replace(t, F.lit(","), F.lit("")))
-    return plain.try_cast("decimal(38,12)")
+    return _canonical(F.substring(plain, 1, 1), F.regexp_extract(plain, r"^[+-]?(\d+)", 1), F.lit(""))
+
+
+_NUMBER = r"^([+-]?)(\d*)[.,]?(\d*)(?:[eE]([+-]?\d{1,3}))?$"
 
 
 def _decimal(t: Column) -> Column:
-    return F.when(t.rlike(r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d{1,3})?$"), F.replace(t, F.lit(","), F.lit("."))).try_cast("decimal(38,12)")
+    """A decimal as canonical text, of any length; the point may be a comma, and an exponent is worked out."""
+    good = F.when(t.rlike(r"^[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d{1,3})?$"), t)
+    sign, whole, fraction = (F.regexp_extract(good, _NUMBER, i) for i in (1, 2, 3))
+    # with an exponent the point moves over the digits, which zeros lengthen on either side
+    power = F.regexp_extract(good, _NUMBER, 4).cast("int")
+    digits = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), -power)), whole, fraction, F.repeat(F.lit("0"), F.greatest(F.lit(0), power)))
+    point = F.length(whole) + F.greatest(F.lit(0), power) + F.least(F.lit(0), power) + F.greatest(F.lit(0), -power)
+    moved = _canonical(sign, F.concat(F.lit("0"), F.substring(digits, F.lit(1), point)), F.substring(digits, point + 1, F.length(digits)))
+    return F.when(good.rlike("[eE]"), moved).otherwise(_canonical(sign, F.concat(F.lit("0"), whole), fraction))
 
 
 def _boolean(t: Column) -> Column:
@@ -98,9 +117,12 @@ def cells(values: DataFrame, registry: list[tuple[str, str, str]]) -> DataFrame:
     # the trimmed text is a column of its own, so that no branch computes it again
     last = last.select("entity_kind", "entity_id", "idx", filled(F.col("v.ext_value")).alias("_t"), "items")
     t = F.col("_t")
+    last = last.select("*", F.when(of("int"), _whole(t)).when(of("decimal"), _decimal(t)).alias("_n"))
+    n = F.col("_n")
+    fits = n.rlike(r"^-?\d{1,38}$") & of("int") | n.rlike(r"^-?\d{1,26}(\.\d{1,12})?$") & of("decimal")
     return last.select(
         "entity_kind", "entity_id", F.col("idx").cast("int").alias("idx"),
-        F.when(of("string"), t).alias("s"), F.when(of("int"), _whole(t)).when(of("decimal"), _decimal(t)).alias("n"), F.when(of("boolean"), _boolean(t)).alias("b"),
+        F.when(of("string"), t).alias("s"), F.when(of("int") & fits, n.cast("decimal(38,0)")).alias("w"), F.when(of("decimal") & fits, n.cast("decimal(38,12)")).alias("n"), F.when(~fits, n).alias("x"), F.when(of("boolean"), _boolean(t)).alias("b"),
         F.when(of("date"), _day(t)).alias("d"), F.when(of("timestamp"), _moment(t)).alias("t"), F.when(of("string_list") & (F.size("items") > 0), F.col("items")).alias("l"),
     )
 
@@ -110,7 +132,10 @@ def column_names(registry: list[tuple[str, str, str]]) -> list[str]:
 
 
 def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per entity: entity_kind, entity_id and a typed column `kind:key` for each registered key; see wide_table().
+    """One row per entity: entity_kind, entity_id, exact_numbers and a typed column `kind:key` for each registered key; see wide_table().
+
+    exact_numbers maps a column's name to the canonical text of a number that the column's type cannot hold exactly; the column
+    itself is null then. So no number is rounded or lost, whatever its length.
 
     A single value is the latest by loaded_at (null lowest, ties: the largest text); if it is null, blank or not readable as
     its type the cell is null. A list holds the distinct non-blank values of all rows of its key, sorted. Rows without an
@@ -119,8 +144,8 @@ def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
     registry = _registry(keys)
     names = column_names(registry)
     kinds = [BUFFERS[r[2]] for r in registry]
-    types = [_WHOLE if r[2] == "int" else _ARROW[BUFFERS[r[2]]] for r in registry]
-    schema = pa.schema([("entity_kind", pa.string()), ("entity_id", pa.string()), *zip(names, types)])
+    types = [_ARROW[BUFFERS[r[2]]] for r in registry]
+    schema = pa.schema([("entity_kind", pa.string()), ("entity_id", pa.string()), ("exact_numbers", pa.map_(pa.string(), pa.string())), *zip(names, types)])
 
     def build(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
         """batch holds whole entities, sorted."""
@@ -132,7 +157,12 @@ def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
             same[1:] = pc.and_(pc.equal(a.column("entity_id"), b.column("entity_id")), pc.equal(a.column("entity_kind"), b.column("entity_kind"))).to_numpy(zero_copy_only=False)
         row = np.cumsum(~same) - 1
         first = pa.array(np.flatnonzero(~same))
-        out = [kind.take(first), ids.take(first)]
+        exact = batch.column("x")
+        there = np.flatnonzero(exact.is_valid().to_numpy(zero_copy_only=False))
+        offsets = np.zeros(len(first) + 1, dtype=np.int32)
+        np.cumsum(np.bincount(row[there], minlength=len(first)), out=offsets[1:])
+        exact_numbers = pa.MapArray.from_arrays(pa.array(offsets), pa.array([names[i] for i in idx[there]], pa.string()), exact.take(pa.array(there)))
+        out = [kind.take(first), ids.take(first), exact_numbers]
         for j, (k, t) in enumerate(zip(kinds, types)):
             at = np.full(len(first), -1, dtype=np.int64)
             here = np.flatnonzero(idx == j)
@@ -158,15 +188,17 @@ def wide(values: DataFrame, keys: DataFrame) -> DataFrame:
         if held is not None:
             yield build(held)
 
-    spark_schema = "entity_kind string, entity_id string" + "".join(f", `{n}` {SQL_TYPES[r[2]]}" for n, r in zip(names, registry))
+    spark_schema = "entity_kind string, entity_id string, exact_numbers map<string,string>" + "".join(f", `{n}` {SQL_TYPES[r[2]]}" for n, r in zip(names, registry))
     shuffled = cells(values, registry).repartition("entity_kind", "entity_id").sortWithinPartitions("entity_kind", "entity_id", "idx")
     return shuffled.mapInArrow(stream, spark_schema)
 
 
 def wide_table(values: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
-    """The wide table of one kind of entity: entity_id and its registered keys as typed columns (dots and dashes as in the key)."""
+    """The wide table of one kind of entity: entity_id, its registered keys as typed columns (dots and dashes as in the key), and exact_numbers
+    with the numbers that no column's type can hold, by registered key."""
     full = wide(values.where(F.col("entity_kind") == kind), keys.where(F.col("entity_kind") == kind))
-    return full.select("entity_id", *(F.col(f"`{c}`").alias(c.split(":", 1)[1]) for c in full.columns[2:]))
+    exact = F.transform_keys("exact_numbers", lambda k, _: F.substring(k, F.lit(len(kind) + 2), F.length(k)))
+    return full.select("entity_id", exact.alias("exact_numbers"), *(F.col(f"`{c}`").alias(c.split(":", 1)[1]) for c in full.columns[3:]))
 
 
 def cell_text(c: Column, value_type: str) -> Column:
@@ -182,9 +214,15 @@ def cell_text(c: Column, value_type: str) -> Column:
     return c.cast("string")
 
 
+def _cell(kind: str, key: str, value_type: str) -> Column:
+    """The cell as text; a number that its column cannot hold comes from exact_numbers."""
+    text = cell_text(F.col(f"`{kind}:{key}`"), value_type)
+    return F.coalesce(text, F.try_element_at("exact_numbers", F.lit(f"{kind}:{key}"))) if value_type in ("int", "decimal") else text
+
+
 def filled_cells(values: DataFrame, keys: DataFrame) -> DataFrame:
     """entity_id, ext_key, cell_value: the wide tables' filled cells as text."""
     full = wide(values, keys)
     registry = _registry(keys)
-    rows = F.array(*(F.struct(F.lit(key).alias("ext_key"), cell_text(F.col(f"`{kind}:{key}`"), t).alias("cell_value")) for kind, key, t in registry))
+    rows = F.array(*(F.struct(F.lit(key).alias("ext_key"), _cell(kind, key, t).alias("cell_value")) for kind, key, t in registry))
     return full.select("entity_id", F.inline(F.filter(rows, lambda r: r["cell_value"].isNotNull())))

@@ -72,6 +72,8 @@ def _wide(kind: str) -> Query:
         from factloom.operators import widen
 
         w = widen.wide_table(table(spark, d, "extension_values"), table(spark, d, "extension_keys"), kind)
+        exact = F.array_join(F.transform(F.array_sort(F.map_entries("exact_numbers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+        w = w.withColumn("exact_numbers", exact)
         return w.toDF(*(c.replace(".", "_").replace("-", "_") for c in w.columns))
 
     return query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import filled
+from factloom.session import cut, filled
 
 #: Fixed value of the model: a value is interpolated in at most so many passes, of which the last must find nothing to replace.
 MAX_PASSES = 16
@@ -13,17 +13,21 @@ PLACEHOLDER = r"\$\{([^}]+)\}"
 
 
 def interpolate(value: Column, properties: Column) -> Column:
-    """value with ${name} replaced from the map until none is left; null if a name is missing or replacing does not end."""
+    """The trimmed value with ${name} replaced from the map until none is left; null if a name is missing or replacing does not end."""
+    return _replaced(filled(value), properties)
+
+
+def _replaced(value: Column, properties: Column) -> Column:
+    """interpolate() of a value that is trimmed already."""
     names = lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(PLACEHOLDER), F.lit(1)))
 
     def once(v: Column, _pass: Column) -> Column:
         step = F.aggregate(names(v), v, lambda acc, n: F.replace(acc, F.concat(F.lit("${"), n, F.lit("}")), F.try_element_at(properties, n)))
         return F.when(v.isNull() | ~v.contains("${"), v).otherwise(step)
 
-    plain = filled(value)
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PASSES - 1)), plain, once)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_PASSES - 1)), value, once, lambda d: filled(F.when(F.size(names(d)) == 0, d)))
     # most values hold no placeholder: they never reach the interpreted passes
-    return F.when(plain.contains("${"), filled(F.when(F.size(names(done)) == 0, done))).otherwise(plain)
+    return F.when(value.contains("${"), done).otherwise(value)
 
 
 def coordinates(poms: DataFrame) -> DataFrame:
@@ -32,20 +36,23 @@ def coordinates(poms: DataFrame) -> DataFrame:
     Only a POM's own properties count, and parent.groupId, parent.artifactId and parent.version of its parent element. A blank
     group is inherited from the parent element.
     """
-    pg, pa, pv = filled("parent_group_id"), filled("parent_artifact_id"), filled("parent_version")
+    # trimmed and resolved values are columns of their own, so that no expression works them out twice
+    parts = ("group_id", "artifact_id", "pom_version", "parent_group_id", "parent_artifact_id", "parent_version")
+    df = poms.withColumns({f"_{c}": filled(c) for c in parts})
     own = F.map_entries(F.coalesce("pom_properties", F.create_map().cast("map<string,string>")))
-    given = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("parent.groupId", pg), ("parent.artifactId", pa), ("parent.version", pv)))), lambda e: e["value"].isNotNull())
+    given = F.filter(F.array(*(F.struct(F.lit(f"parent.{k}").alias("key"), F.col(c).alias("value")) for k, c in (("groupId", "_parent_group_id"), ("artifactId", "_parent_artifact_id"), ("version", "_parent_version")))), lambda e: e["value"].isNotNull())
     kept = F.filter(own, lambda e: ~F.exists(given, lambda g: g["key"] == e["key"]))
-    props = F.map_from_entries(F.concat(kept, given))
     # the map is built only for rows that have something to replace
-    asked = F.concat_ws(" ", "group_id", "artifact_id", "pom_version", "parent_group_id", "parent_artifact_id", "parent_version").contains("${")
-    df = poms.withColumn("_p", F.when(asked, props))
-    group = interpolate(F.coalesce(filled("group_id"), pg), F.col("_p"))
-    artifact = interpolate(F.col("artifact_id"), F.col("_p"))
-    up_group, up_artifact = interpolate(pg, F.col("_p")), interpolate(pa, F.col("_p"))
-    join = lambda g, a: F.when(g.isNotNull() & a.isNotNull(), F.concat(g, F.lit(":"), a))
-    version = interpolate(F.coalesce(filled("pom_version"), pv), F.col("_p"))
-    return df.withColumn("pom_key", join(group, artifact)).withColumn("parent_key", join(up_group, up_artifact)).withColumn("resolved_version", version).drop("_p")
+    asked = F.concat_ws(" ", *(f"_{c}" for c in parts)).contains("${")
+    df = df.withColumn("_props", F.when(asked, F.map_from_entries(F.concat(kept, given))))
+    wanted = {
+        "_g": F.coalesce("_group_id", "_parent_group_id"), "_a": F.col("_artifact_id"), "_v": F.coalesce("_pom_version", "_parent_version"),
+        "_pg": F.col("_parent_group_id"), "_pa": F.col("_parent_artifact_id"),
+    }
+    df = df.withColumns({c: _replaced(v, F.col("_props")) for c, v in wanted.items()})
+    join = lambda g, a: F.when(F.col(g).isNotNull() & F.col(a).isNotNull(), F.concat(g, F.lit(":"), a))
+    df = df.withColumns({"pom_key": join("_g", "_a"), "parent_key": join("_pg", "_pa"), "resolved_version": F.col("_v")})
+    return df.drop("_props", *wanted, *(f"_{c}" for c in parts))
 
 
 def latest_links(poms: DataFrame) -> DataFrame:
@@ -57,14 +64,18 @@ def latest_links(poms: DataFrame) -> DataFrame:
     )
 
 
-def _dependencies(poms: DataFrame) -> DataFrame:
-    """Direct dependencies of the latest scan of each project, with group, artifact and scope resolved; test scope left out.
+def _last_scans(poms: DataFrame) -> DataFrame:
+    """pom_key, repository_path, dependencies, pom_properties of each project's latest scan (ties: the largest pom_id), written once."""
+    best = coordinates(poms).where(F.col("pom_key").isNotNull())
+    last = best.groupBy("pom_key").agg(F.max_by(F.struct("repository_path", "dependencies", "pom_properties"), F.struct("scanned_at", "pom_id")).alias("_m"))
+    return cut(last.select("pom_key", "_m.*"))
+
+
+def _dependencies(last: DataFrame) -> DataFrame:
+    """Direct dependencies of the scans of _last_scans(), with group, artifact and scope resolved; test scope left out.
 
     A blank or unresolvable scope counts as compile. project.* and pom.* stand for the project's own coordinates.
     """
-    best = coordinates(poms).where(F.col("pom_key").isNotNull())
-    newest = best.groupBy("pom_key").agg(F.max(F.struct("scanned_at", "pom_id")).alias("_m")).select(F.col("_m.pom_id").alias("pom_id")).distinct()
-    last = best.join(newest, "pom_id", "left_semi").dropDuplicates(["pom_key", "pom_id"])
     props = F.map_from_entries(F.concat(
         F.filter(F.map_entries(F.coalesce("pom_properties", F.create_map().cast("map<string,string>"))), lambda e: ~e["key"].isin("project.groupId", "pom.groupId", "project.artifactId", "pom.artifactId")),
         F.array(*(F.struct(F.lit(f"{p}.{n}Id").alias("key"), F.split("pom_key", ":")[i].alias("value")) for p in ("project", "pom") for i, n in enumerate(("group", "artifact")))).cast("array<struct<key:string,value:string>>"),
@@ -82,8 +93,9 @@ def dependency_edges(poms: DataFrame) -> DataFrame:
 
     internal tells that the target is a project of the table; others are external libraries.
     """
-    known = coordinates(poms).select(F.col("pom_key").alias("target_key"), F.lit(True).alias("_in")).where("target_key is not null").distinct()
-    rows = _dependencies(poms).where("group is not null and artifact is not null").withColumn("target_key", F.concat("group", F.lit(":"), "artifact"))
+    last = _last_scans(poms)
+    known = last.select(F.col("pom_key").alias("target_key"), F.lit(True).alias("_in"))
+    rows = _dependencies(last).where("group is not null and artifact is not null").withColumn("target_key", F.concat("group", F.lit(":"), "artifact"))
     return (
         rows.groupBy("source_key", "target_key").agg(F.array_sort(F.collect_set("scope")).alias("scopes"), F.countDistinct("line_no").alias("n_lines"))
         .join(known, "target_key", "left").withColumn("internal", F.coalesce("_in", F.lit(False))).drop("_in")
@@ -92,5 +104,5 @@ def dependency_edges(poms: DataFrame) -> DataFrame:
 
 def unresolved_dependencies(poms: DataFrame) -> DataFrame:
     """code, file_path, line_no of direct dependencies whose group or artifact does not resolve."""
-    rows = _dependencies(poms).where("group is null or artifact is null")
+    rows = _dependencies(_last_scans(poms)).where("group is null or artifact is null")
     return rows.select(F.lit("maven.dependency.unresolved").alias("code"), F.col("repository_path").alias("file_path"), "line_no").distinct()

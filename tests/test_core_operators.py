@@ -1,5 +1,6 @@
 """Problems 1 to 4 against plain Python on whole small tables and on fixtures of awkward rows."""
 
+import json
 import random
 from datetime import datetime
 
@@ -124,6 +125,20 @@ def test_p3_awkward_bodies(spark):
     assert flatten.components(df).count() == 1 and flatten.findings(df).count() == 1
 
 
+def test_p3_any_depth(spark):
+    deep = {"v": ["x", 1]}
+    for k in "gfedcba":
+        deep = {k: deep, "t": "u"}
+    report = {"components": [{"id": "c", "extensions": deep}]}
+    wrapped = report
+    for i in range(7):
+        wrapped = [{"report": wrapped}] if i % 3 == 0 else {"payload": json.dumps(wrapped)} if i % 3 == 1 else json.dumps(wrapped)
+    df = spark.createDataFrame([(0, json.dumps(report)), (1, json.dumps(wrapped))], "report_id long, body string")
+    want = {f"{'.'.join('abcdefg'[:i])}{'.' if i else ''}t=u" for i in range(7)} | {"a.b.c.d.e.f.g.v=x", "a.b.c.d.e.f.g.v=1"}
+    assert {tuple(r) for r in flatten.facts(df).collect()} == {(i, "component", "c", "extension", w) for i in (0, 1) for w in want}
+    assert {r.report_id for r in flatten.components(df).collect()} == {0, 1}
+
+
 def test_p4_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     got = [tuple(r) for r in queries()["p4_found"](spark, sf).collect()]
@@ -142,5 +157,19 @@ def test_p4_wide_table_types_and_batches(spark):
         got = {r[0]: tuple(r)[1:] for r in widen.wide_table(df, keys, "x").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert len(got) == 51 and got["only"] == (None, None, None)
-    assert got["e7"][0] == ["q", "r"] and int(got["e7"][1]) == 7 and got["e7"][2] is None
+    assert len(got) == 51 and got["only"] == ({}, None, None, None)
+    assert got["e7"][1] == ["q", "r"] and int(got["e7"][2]) == 7 and got["e7"][3] is None
+
+
+def test_p4_numbers_are_exact(spark):
+    cases = {
+        "n": {"123456789012345678901234567": "123456789012345678901234567", "-" + "9" * 60: "-" + "9" * 60, "+007": "7", "-0": "0", "1,234,567.00": "1234567", "1.5": None, "": None},
+        "d": {"9" * 29: "9" * 29, "0.00000000000049": "0.00000000000049", "-1,50": "-1.5", "1e3": "1000", "12.345E-2": "0.12345", "-2.50e1": "-25", "1e-30": "0." + "0" * 29 + "1", ",5": "0.5", "5.": "5", "-0.0": "0", "x": None, "1e400": "1" + "0" * 400},
+    }
+    keys = spark.createDataFrame([("n", "x", "int"), ("d", "x", "decimal")], "ext_key string, entity_kind string, value_type string")
+    vals = [("x", f"{k}{i}", k, v) for k, c in cases.items() for i, v in enumerate(c)]
+    df = spark.createDataFrame(vals, "entity_kind string, entity_id string, ext_key string, ext_value string").withColumn("loaded_at", F.lit(None).cast("timestamp"))
+    got = {r.entity_id: r.cell_value for r in widen.filled_cells(df, keys).collect()}
+    assert got == {f"{k}{i}": w for k, c in cases.items() for i, w in enumerate(c.values()) if w is not None}
+    wide = {r.entity_id: r for r in widen.wide_table(df, keys, "x").collect()}
+    assert wide["n0"].n == 123456789012345678901234567 and wide["n1"].n is None and wide["n1"].exact_numbers == {"n": "-" + "9" * 60}
