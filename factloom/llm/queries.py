@@ -55,7 +55,10 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).where("whole").select("doc_id", "item_id").distinct()
+    from factloom.llm import leakage
+
+    # aligned without any edit; whole leaves out what begins or ends within a word
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=0).where("whole").select("doc_id", "item_id").distinct()
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:

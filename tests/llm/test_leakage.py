@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import tracemalloc
 import unicodedata
 
 from factloom.llm import leakage
@@ -65,3 +66,60 @@ def test_awkward_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, "z"), (3, " ".join(map(str, range(30))))], "item_id long, item_text string")
     assert leakage.leaks(docs, items).count() == 0
     assert leakage.leaks(docs.limit(0), items.limit(0)).count() == 0
+
+
+def _distance(a, b, limit):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        if min(row) > limit:
+            return limit + 1
+    return row[-1]
+
+
+def test_all_edits_within_the_budget_are_found():
+    """Windows of random words, long and short, changed by 0 to 4 random edits: every one within the budget comes out, with its distance at most."""
+    rnd = random.Random(5)
+    for edits in (0, 1, 2, 3):
+        items, docs, within = [], [], set()
+        for i in range(60):
+            size = 1 if i % 6 == 0 else rnd.randint(2, 8)
+            item = " ".join("".join(rnd.choice("abcdefghij") for _ in range(size)) for _ in range(13))
+            text = list(item)
+            for _ in range(rnd.randint(0, 4)):
+                at, letter = rnd.choice([k for k, c in enumerate(text) if c != " "]), rnd.choice("klm")
+                text[at : at + 1] = rnd.choice([[letter], [text[at], letter], []]) or [" "]
+            items.append((i, item))
+            docs.append((i, "x y " + "".join(text) + " z"))
+            a, b = item.replace(" ", ""), "".join(text).replace(" ", "")
+            if _distance(a, b, edits) <= edits:
+                within.add(i)
+        got = {(d, i): e for d, i, e, _ in leakage.search(leakage.build_index(items, edits=edits), docs) if d == i}
+        assert within <= {d for d, _ in got} and all(e <= edits for e in got.values()) and len(within) > 4
+
+
+def test_repetitive_texts_take_little_memory():
+    items = [(i, " ".join(["a" * 10] * 48)) for i in range(5)] + [(9, " ".join("abcdefghijklmnop"))]
+    docs = [(1, " ".join(["a" * 10] * 640)), (2, "a" * 6400), (3, " ".join("abcdefghijklmnopq" * 3))]
+    tracemalloc.start()
+    got = {(d, i): w for d, i, _, w in leakage.search(leakage.build_index(items), docs)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000, peak
+    assert {k for k, w in got.items() if w} == {(1, i) for i in range(5)} | {(3, 9)}
+    assert {(2, i) for i in range(5)} <= got.keys()  # the letters are there, the words are not
+
+
+def test_blocks_of_items_and_documents_change_nothing(monkeypatch):
+    rnd = random.Random(2)
+    words_ = ["".join(rnd.choice("ab") for _ in range(4)) for _ in range(12)]
+    items = [(i, " ".join(rnd.choice(words_) for _ in range(20))) for i in range(30)]
+    docs = [(d, " ".join(rnd.choice([items[rnd.randrange(30)][1], " ".join(rnd.choice(words_) for _ in range(9))]) for _ in range(12))) for d in range(10)]
+    want = sorted(leakage.search(leakage.build_index(items, edits=0), docs))
+    monkeypatch.setattr(leakage, "HOT", 3)
+    monkeypatch.setattr(leakage, "HITS", 50)
+    assert sorted(leakage.search(leakage.build_index(items, edits=0), docs)) == want
+    assert {(d, i) for d, i, _, w in want if w} == brute(docs, items)
