@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.plans.model import DIAGNOSTIC, FINDING, SEVERITIES, FactError, FactModel, Limits, edge_facts, validate
 from factloom.plans.rules import Rule, finish
+from factloom.session import cut
 
 
 def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
@@ -21,15 +22,17 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
 def evaluate(f: FactModel, rules: Iterable[Rule], limits: Limits | None = Limits(), checked: bool = True) -> tuple[DataFrame, DataFrame]:
     """(findings, diagnostics) of all rules over all projects.
 
-    With checked, integrity and budgets are checked first and any breach raises a FactError; checks are separate small
+    Of several rules the relations and the edge join are worked out once and written. With checked, integrity and budgets are checked first and any breach raises a FactError; checks are separate small
     aggregates, so no later projection can prune them away.
     """
     rules = sorted(rules, key=lambda r: r.rule_id)
     if len({r.rule_id for r in rules}) < len(rules):
         raise FactError("rule.config.duplicate-rule")
+    if len(rules) > 1:
+        f = f.written()
     if checked:
         validate(f, limits)
-    edges = edge_facts(f)
+    edges = edge_facts(f) if len(rules) == 1 else cut(edge_facts(f))
     for r in rules:
         r.precheck(edges)
     spark = f.project.sparkSession

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import cut, cut_observed
+
 
 def outgoing(edges: DataFrame) -> DataFrame:
     """project_id, node, neighbours (sorted, distinct) of all nodes with edges."""
@@ -55,12 +57,19 @@ def tarjan(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return label
 
 
-def scc(edges: DataFrame) -> DataFrame:
-    """project_id, node, scc (smallest member) of the graphs of all projects.
+#: Edges up to which a project's graph is one task's group: the edge budget of a project (rule.limit.edges).
+GROUP_EDGES = 1_000_000
+
+
+def scc(edges: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
+    """project_id, node, scc (smallest member) of the graphs of all projects; self loops and parallel edges change nothing.
 
-    A project's graph is one task's group: it is bounded by the edge budget, which is checked before (rule.limit.edges).
+    A project of at most group_edges different edges is one task's group, so projects run side by side in bounded memory. Larger
+    ones are coloured by rounds of joins over all of them, whatever their size; see coloured().
     """
-    pairs = edges.select("project_id", "source_id", "target_id").distinct()
+    pairs = cut(edges.select("project_id", "source_id", "target_id").distinct())
+    # one row per project that is over the bound: at most (edges / group_edges) of them
+    large = pairs.groupBy("project_id").agg(F.count("*").alias("n")).where(F.col("n") > group_edges).select("project_id")
 
     def one(pdf):
         import pandas as pd
@@ -68,7 +77,70 @@ def scc(edges: DataFrame) -> DataFrame:
         got = tarjan(list(zip(pdf["source_id"], pdf["target_id"])))
         return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node": list(got), "scc": list(got.values())})
 
-    return pairs.groupBy("project_id").applyInPandas(one, "project_id string, node string, scc string")
+    small = pairs.join(large, "project_id", "left_anti").groupBy("project_id").applyInPandas(one, "project_id string, node string, scc string")
+    if large.isEmpty():
+        return small
+    return small.unionByName(coloured(pairs.join(large, "project_id", "left_semi")))
+
+
+_ENDS = ("source_id", "target_id")
+
+
+def _spread_to_end(state: DataFrame, edges: DataFrame, towards: str, column: str) -> DataFrame:
+    """state (project_id, node, <column>): each node's column raised to the greatest that reaches it along the edges, to the fix point."""
+    come = _ENDS[1 - _ENDS.index(towards)]
+    while True:
+        sent = edges.join(state.withColumnRenamed("node", come).hint("merge"), ["project_id", come])
+        # the greatest value a node is sent: pre-aggregated, so a node of many edges costs one row a task
+        best = sent.groupBy("project_id", F.col(towards).alias("node")).agg(F.max(column).alias("_new"))
+        state, seen = cut_observed(
+            state.join(best.hint("merge"), ["project_id", "node"], "left").select("project_id", "node", F.greatest(column, "_new").alias(column), F.coalesce(F.col("_new") > F.col(column), F.lit(False)).alias("_up")),
+            raised=F.count_if("_up"),
+        )
+        state = state.drop("_up")
+        if not seen["raised"]:
+            return state
+
+
+def coloured(pairs: DataFrame) -> DataFrame:
+    """scc() by rounds over whole tables. A round drops nodes without a way in or out; colours the rest by the greatest node that leads
+    there; in each colour, the nodes that lead to the one it is named for are a component; edges between colours or to a component
+    lie in no other component and go. Each round settles a component per colour, so it ends.
+    """
+    left = cut(pairs.where("source_id <> target_id").distinct())
+    nodes = pairs.select("project_id", F.col("source_id").alias("node")).unionByName(pairs.select("project_id", F.col("target_id").alias("node"))).distinct()
+    found: DataFrame | None = None
+    while True:
+        while True:  # nodes that nothing leads to, or that lead nowhere, are components of their own
+            end = {c: left.groupBy("project_id", F.col(c).alias("_node")).agg(F.lit(True).alias(f"_{c}")) for c in _ENDS}
+            kept = left
+            for c in _ENDS:
+                other = _ENDS[1 - _ENDS.index(c)]
+                kept = kept.join(end[other].withColumnRenamed("_node", c).hint("merge"), ["project_id", c], "left")
+            marked, seen = cut_observed(kept.withColumn("_in", F.coalesce(F.col("_source_id") & F.col("_target_id"), F.lit(False))).select("project_id", *_ENDS, "_in"), gone=F.count_if(~F.col("_in")), n=F.count_if("_in"))
+            left = marked.where("_in").drop("_in")
+            if not seen["gone"] or not seen["n"]:
+                break
+        if not seen["n"]:
+            break
+        start = left.select("project_id", F.col("source_id").alias("node")).distinct().withColumn("colour", F.col("node"))
+        colour = _spread_to_end(cut(start), left, "target_id", "colour")
+        ends = left
+        for c in _ENDS:
+            ends = ends.join(colour.select("project_id", F.col("node").alias(c), F.col("colour").alias(f"_{c}")).hint("merge"), ["project_id", c])
+        within = cut(ends.where("_source_id = _target_id").select("project_id", *_ENDS))
+        reached = _spread_to_end(cut(colour.withColumn("hit", F.col("node") == F.col("colour")).select("project_id", "node", "hit")), within, "source_id", "hit").where("hit")
+        part = cut(colour.join(reached.hint("merge"), ["project_id", "node"], "left_semi"))
+        named = part.groupBy("project_id", "colour").agg(F.min("node").alias("scc"))
+        got = part.join(named.hint("merge"), ["project_id", "colour"]).select("project_id", "node", "scc")
+        found = got if found is None else found.unionByName(got)
+        left = within
+        for c in _ENDS:
+            left = left.join(part.select("project_id", F.col("node").alias(c)).hint("merge"), ["project_id", c], "left_anti")
+        left = cut(left)
+    if found is None:
+        return nodes.withColumn("scc", F.col("node"))
+    return nodes.join(found.hint("merge"), ["project_id", "node"], "left").select("project_id", "node", F.coalesce("scc", "node").alias("scc"))
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.session import cut
+
 LOCATION = "struct<path:string,start_line:int,start_column:int,end_line:int,end_column:int>"
 EXTENSIONS = "map<string,array<string>>"
 PROJECT = f"project_id string, identity string, name string, language string, repository_path string, extensions {EXTENSIONS}"
@@ -49,8 +51,9 @@ class FactModel:
     evidence: DataFrame
     metric: DataFrame
 
-    def cached(self) -> FactModel:
-        return replace(self, **{k: v.persist() for k, v in vars(self).items()})
+    def written(self) -> FactModel:
+        """The same relations, each worked out once and written: a rule set reads them many times."""
+        return replace(self, **{k: cut(v) for k, v in vars(self).items()})
 
 
 def violations(f: FactModel, limits: Limits | None = None) -> DataFrame:

@@ -40,9 +40,13 @@ RULES: dict[str, Rule] = {
 DIAGNOSED = {"module_boundary_missing": "module_boundary", "forbidden_unresolved_diag": "forbidden_coordinate_gav", "annotation_unresolved": "required_annotation"}
 
 
+#: The order tables are one project; at every scale they are over the default budgets.
+BUDGETS = Limits(1_000_000_000, 10_000_000_000, 10_000_000_000)
+
+
 def _run(spark: SparkSession, d: str, rules: list[Rule], facts: Facts) -> tuple[DataFrame, DataFrame]:
-    # the order tables at every scale are over the default budgets; integrity is checked by queries of its own
-    return evaluate(facts(spark, d), rules, Limits(None, None, None), checked=False)
+    # rule sets are checked like those of a user; of single rules the integrity is checked by queries of its own
+    return evaluate(facts(spark, d), rules, BUDGETS, checked=len(rules) > 1)
 
 
 def flat(findings: DataFrame) -> DataFrame:

@@ -140,3 +140,15 @@ def test_bad_parameters():
     ):
         with pytest.raises(FactError, match="config.value.invalid"):
             make()
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_graphs_are_coloured_to_the_same_components(spark, seed):
+    from factloom.plans import graph
+
+    rnd = random.Random(seed)
+    pairs = {(p, f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for p in ("p", "q") for _ in range(45 if p == "p" else 70)} | {("r", "a", "a"), ("r", "a", "b")}
+    edges = spark.createDataFrame(sorted(pairs), "project_id string, source_id string, target_id string")
+    want = {(p, n, s) for p in ("p", "q", "r") for n, s in graph.tarjan([(a, b) for x, a, b in sorted(pairs) if x == p]).items()}
+    for most in (0, 50, 1000):
+        assert {tuple(r) for r in graph.scc(edges, most).collect()} == want
