@@ -117,7 +117,7 @@ def resolve_annotations(uses: DataFrame, declared: DataFrame) -> DataFrame:
 
 def _extensions(*entries: tuple[str, Column]) -> Column:
     """A map of the entries whose value is not null."""
-    e = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in entries)), lambda x: x["value"].isNotNull())
+    e = F.filter(F.array(*(F.named_struct(F.lit("key"), F.lit(k), F.lit("value"), v) for k, v in entries)), lambda x: x["value"].isNotNull())
     return F.map_from_entries(e).cast("map<string,array<string>>")
 
 

@@ -111,3 +111,41 @@ def test_empty_tables_give_an_empty_model(spark):
 def test_what_cannot_be_read_is_said(text):
     with pytest.raises(Unreadable):
         declared(text)
+
+
+POMS = {
+    "pom.xml": "<project xmlns='http://maven.apache.org/POM/4.0.0'>\n<groupId>org.shop</groupId><artifactId>root</artifactId><version>1.0</version>\n<properties><lib.version>2.5</lib.version><x>parent</x></properties></project>",
+    "a/pom.xml": "<project>\n<parent><groupId>org.shop</groupId><artifactId>root</artifactId><version>1.0</version></parent>\n<artifactId>a</artifactId><properties><x>own</x></properties>\n<dependencies>\n"
+    "<dependency><groupId>${project.groupId}</groupId><artifactId>b</artifactId><version>${project.version}</version></dependency>\n"
+    "<dependency><groupId>ext</groupId><artifactId>lib-${x}</artifactId><version>${lib.version}</version><scope>runtime</scope></dependency>\n"
+    "<dependency><groupId>junit</groupId><artifactId>junit</artifactId><scope>test</scope></dependency>\n<dependency><groupId>${none}</groupId><artifactId>q</artifactId></dependency>\n</dependencies></project>",
+    "b/pom.xml": "<project><parent><groupId>org.shop</groupId><artifactId>root</artifactId><version>1.0</version><relativePath>../../x/pom.xml</relativePath></parent><artifactId>b</artifactId></project>",
+    "c/pom.xml": "<!DOCTYPE project [<!ENTITY e 'x'>]><project><groupId>g</groupId><artifactId>&e;</artifactId></project>",
+    "a/src/main/java/p/A.java": "package p; class A { }", "b/src/main/java/p/B.java": "package p; class B { }", "c/src/main/java/p/C.java": "package p; class C { }",
+}
+
+
+def test_scan_with_poms(spark, tmp_path):
+    from factloom.sources.scan import scan
+
+    for path, text in POMS.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    model, diagnostics = scan(spark, str(tmp_path), "shop", "Shop")
+    assert violations(model).count() == 0
+    arts = {r.qualified_name: r.extensions for r in model.artifact.collect()}
+    assert arts["shop:a"]["maven.coordinate"] == ["org.shop:a:1.0"] and arts["shop:c"]["maven.coordinate-unresolved"] == ["true"]
+    assert arts["ext:lib-own:2.5"]["maven.external"] == ["true"] and len(arts) == 4
+    ids = {r.id: r.qualified_name for r in model.component.collect()}
+    edges = {(ids[r.source_id], ids[r.target_id], r.extensions["maven.scope"][0], len(r.evidence_ids)) for r in model.dependency.collect()}
+    assert edges == {("org.shop:a:1.0", "org.shop:b:1.0", "compile", 1), ("org.shop:a:1.0", "ext:lib-own:2.5", "runtime", 1)}
+    lines = {r.location.start_line for r in model.evidence.where("kind = 'configuration'").collect()}
+    assert lines == {5, 6}
+    assert sorted((r.code, r.path, r.line) for r in diagnostics.collect()) == [("maven.dependency.unresolved", "a/pom.xml", 8), ("maven.parent.outside-root", "b/pom.xml", 1), ("maven.pom.invalid", "c/pom.xml", 1)]
+
+
+@pytest.mark.parametrize("text", ["", "<project>", "<!DOCTYPE project><project/>", "<project>&x;</project>", "<a/><b/>"])
+def test_unsafe_poms_are_refused(text):
+    from factloom.sources.mavenfacts import read_pom
+
+    assert read_pom(text) is None
