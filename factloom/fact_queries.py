@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.functions import ident
 from factloom.operators import names
 from factloom.session import table
-from factloom.sources import poms
+from factloom.sources import discovery, javafacts, poms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,27 +94,61 @@ def diagnostics_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 def module_of_path(spark: SparkSession, d: str) -> DataFrame:
     """S3: the module of a Java file is what stands before src/main/java, if that folder has a POM; others are dropped."""
-    f = table(spark, d, "source_files").select("project_id", ident.norm_path("repository_path").alias("path")).distinct()
-    module = F.when(F.col("path").startswith("src/main/java/"), ".").otherwise(F.regexp_extract("path", r"^(.*?)/src/main/java/", 1))
-    java = f.where(F.col("path").endswith(".java")).withColumn("module_path", module).where("module_path <> ''")
+    files = table(spark, d, "source_files")
+    f = files.select("project_id", ident.norm_path("repository_path").alias("path"))
     scanned = table(spark, d, "raw_poms").select("project_id", ident.norm_path("repository_path").alias("path"))
-    poms_ = f.unionByName(scanned).where("path = 'pom.xml' or path like '%/pom.xml'").select(F.when(F.col("path") == "pom.xml", ".").otherwise(F.regexp_replace("path", "/pom.xml$", "")).alias("module_path")).distinct()
-    return java.join(poms_, "module_path", "left_semi").select("project_id", "path", "module_path")
+    told = files.where("module_path is not null").select("project_id", F.concat("module_path", F.lit("/pom.xml")).alias("path"))  # the delivery found a POM there
+    return discovery.attributed(f, f.unionByName(scanned).unionByName(told))
 
 
 def scan_budgets(spark: SparkSession, d: str) -> DataFrame:
     """S5: per project what a scan's budgets count: files, bytes, the largest file and the greatest depth."""
-    f = table(spark, d, "source_files").dropDuplicates(["file_id"]).withColumn("path", ident.norm_path("repository_path"))
-    depth = F.size(F.split("path", "/"))
-    return f.groupBy("project_id").agg(F.count("*").alias("n_files"), F.sum("byte_size").alias("n_bytes"), F.max("byte_size").alias("largest"), F.max(depth).cast("long").alias("depth"))
+    return discovery.budgets(table(spark, d, "source_files").dropDuplicates(["file_id"]))
+
+
+def scan_budgets_broken(spark: SparkSession, d: str) -> DataFrame:
+    """S5: the budgets of each project that a scan with small limits would break."""
+    return discovery.over_budget(discovery.budgets(table(spark, d, "source_files").dropDuplicates(["file_id"])), discovery.ScanLimits(20, 4_000, 20_000, 6))
+
+
+def _java_files(spark: SparkSession, d: str) -> DataFrame:
+    """project_id, path, module_path, text of the latest delivery of each Java file."""
+    f = table(spark, d, "source_files").select("project_id", ident.norm_path("repository_path").alias("path"), "file_text", "discovered_at", "file_id").where("path like '%.java' and file_text is not null and project_id is not null")
+    last = f.groupBy("project_id", "path").agg(F.max_by("file_text", F.struct("discovered_at", "file_id")).alias("text"))
+    module = F.regexp_extract("path", r"^(.*?)/src/main/java/", 1)
+    return last.withColumn("module_path", F.when(module == "", ".").otherwise(module))
+
+
+def _java(spark: SparkSession, d: str):
+    who = table(spark, d, "projects").select("project_id", F.col("project_identity").alias("identity"), F.col("project_name").alias("name"))
+    return javafacts.facts(_java_files(spark, d), who)
 
 
 def java_complexity(spark: SparkSession, d: str) -> DataFrame:
-    """A3 on texts: one plus the decision words of a Java file, outside comments and literals."""
-    from factloom.sources.javatext import decision_count
+    """A3: the cyclomatic complexity of each callable of each Java file."""
+    units = javafacts.parsed(_java_files(spark, d)).select("project_id", "path", F.inline("types"))
+    calls = units.select("project_id", "path", F.col("qualified").alias("owner"), F.inline("callables"))
+    return calls.select("project_id", "path", F.concat("owner", F.lit("#"), "signature").alias("callable"), F.col("complexity").cast("long").alias("complexity"))
+
+
+def java_components(spark: SparkSession, d: str) -> DataFrame:
+    """S7: types and callables of the Java files, with their resolved annotations."""
+    c = _java(spark, d)[0].component
+    return c.select("project_id", "id", "kind", "qualified_name", F.array_join(F.try_element_at("extensions", F.lit("java.annotations")), ",").alias("annotations"))
+
+
+def java_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """A1, J12: edges between the types of a project."""
+    return _java(spark, d)[0].dependency.select("project_id", "id", "source_id", "target_id", "kind", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+def java_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A3 to A5: complexity of callables, types and modules."""
+    return _java(spark, d)[0].metric.select("project_id", "scope_id", "key", ident.decimal_text("value").alias("value"))
+
 
-    f = table(spark, d, "source_files").where("file_text is not null and repository_path like '%.java'")
-    return f.select("file_id", decision_count(F.col("file_text")).cast("long").alias("complexity")).distinct()
+def java_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return _java(spark, d)[1]
 
 
 _SP = r"[\s\p{Z}\x0B\x1C-\x1F\x{85}]"
@@ -191,7 +225,7 @@ UNION ALL SELECT entity_id, ext_key, array_to_string(list_sort(list(DISTINCT {_t
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         path_normalize, nfc_text, extension_canonical, decimal_canonical, fingerprint_project, maven_coordinate, maven_edges, maven_unresolved, pom_parent_join, duplicate_names_dropped,
-        duplicate_names_reported, name_resolution_ranked, wildcard_unique_match, module_argmin_location, diagnostics_distinct, module_of_path, scan_budgets, java_complexity)}
+        duplicate_names_reported, name_resolution_ranked, wildcard_unique_match, module_argmin_location, diagnostics_distinct, module_of_path, scan_budgets, scan_budgets_broken, java_complexity, java_components, java_dependencies, java_metrics, java_diagnostics)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -218,7 +252,10 @@ SELECT ref, arg_min('nation:' || n_nationkey, rank) AS target, CAST(min(rank) AS
 SELECT ref, min(n_name) AS target FROM refs JOIN nation ON CAST(n_nationkey % 20 AS VARCHAR) = name GROUP BY ref HAVING count(DISTINCT n_name) = 1""",
         "module_argmin_location": "SELECT project_id, coalesce(m.p, 'pom.xml') AS path, CAST(coalesce(m.l, 1) AS BIGINT) AS line, CAST(coalesce(m.c, 1) AS BIGINT) AS col FROM (SELECT project_id, min({'p': loc.file_path, 'l': loc.start_line, 'c': loc.start_column}) FILTER (loc IS NOT NULL) AS m FROM finding_snapshots GROUP BY 1)",
         "diagnostics_distinct": "SELECT DISTINCT diag_code, file_path, message FROM parse_diagnostics",
-        "module_of_path": f"""WITH f AS (SELECT DISTINCT project_id, {path} AS path FROM source_files), m AS (SELECT *, CASE WHEN starts_with(path, 'src/main/java/') THEN '.' ELSE regexp_extract(path, '^(.*?)/src/main/java/', 1) END AS module_path FROM f WHERE ends_with(path, '.java'))
-SELECT * FROM m WHERE module_path <> '' AND module_path IN (SELECT CASE WHEN path = 'pom.xml' THEN '.' ELSE regexp_replace(path, '/pom.xml$', '') END FROM (SELECT path FROM f UNION SELECT replace(repository_path, '\\', '/') FROM raw_poms) WHERE path = 'pom.xml' OR path LIKE '%/pom.xml')""",
+        "module_of_path": f"""WITH f AS (SELECT DISTINCT project_id, {path} AS path FROM source_files), m AS (SELECT *, CASE WHEN starts_with(path, 'src/main/java/') THEN '.' ELSE regexp_extract(path, '^(.*?)/src/main/java/', 1) END AS module_path FROM f WHERE ends_with(path, '.java')),
+at AS (SELECT project_id, CASE WHEN path = 'pom.xml' THEN '.' ELSE regexp_replace(path, '/pom.xml$', '') END AS module_path FROM (SELECT project_id, path FROM f UNION SELECT project_id, replace(repository_path, '\\', '/') FROM raw_poms UNION SELECT project_id, module_path || '/pom.xml' FROM source_files) WHERE path = 'pom.xml' OR path LIKE '%/pom.xml')
+SELECT * FROM m WHERE module_path <> '' AND EXISTS (SELECT 1 FROM at WHERE at.project_id = m.project_id AND at.module_path = m.module_path)""",
+        "scan_budgets_broken": f"""WITH b AS (SELECT project_id, count(*) AS n, sum(byte_size) AS s, max(byte_size) AS l, max(len(string_split({path}, '/'))) AS d FROM (SELECT DISTINCT ON (file_id) * FROM source_files) GROUP BY 1)
+SELECT project_id, 'java.limit.files' AS code FROM b WHERE n > 20 UNION ALL SELECT project_id, 'java.limit.total-bytes' FROM b WHERE s > 20000 UNION ALL SELECT project_id, 'java.limit.file-bytes' FROM b WHERE l > 4000 UNION ALL SELECT project_id, 'java.limit.depth' FROM b WHERE d > 6""",
         "scan_budgets": f"SELECT project_id, count(*) AS n_files, CAST(sum(byte_size) AS BIGINT) AS n_bytes, max(byte_size) AS largest, max(len(string_split({path}, '/'))) AS depth FROM (SELECT DISTINCT ON (file_id) * FROM source_files) GROUP BY 1",
     }
