@@ -23,7 +23,7 @@ def shuffled(spark, run):
     return total() - before
 
 
-@pytest.mark.parametrize("name", ["whole_controller_repository", "whole_forbidden_first_match", "whole_layer_all", "whole_component_cycle", "whole_edge_facts", "whole_module_boundary", "whole_policy_denied", "whole_forbidden_coordinate_ga", "whole_forbidden_package", "whole_forbidden_coordinate_gav", "whole_layer_reverse", "whole_policy_all"])
+@pytest.mark.parametrize("name", ["whole_controller_repository", "whole_forbidden_first_match", "whole_layer_all", "whole_component_cycle", "whole_edge_facts", "whole_module_boundary", "whole_policy_denied", "whole_forbidden_coordinate_ga", "whole_forbidden_package", "whole_forbidden_coordinate_gav", "whole_layer_reverse", "whole_policy_all", "whole_cycle_members"])
 def test_lines_meet_by_small_keys(spark, sf, name):
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert shuffled(spark, lambda: queries()[name](spark, sf)) < A_LINE * n
